@@ -1,0 +1,61 @@
+"""The registered opN_ queries: each applies one operator to its whole table and derives the contract's columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm.exact_dedup import exact_dedup
+from weftline.llm.line_dedup import line_dedup
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query(
+    "op2_line_dedup",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    l AS (SELECT r, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM d),
+    k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {UPPER_LOWER}) AS key FROM l),
+    frequent AS (SELECT key FROM (SELECT DISTINCT r, key FROM k WHERE length(key) >= 1) GROUP BY key HAVING count(*) >= 10),
+    m AS (SELECT k.r, k.line, k.pos, f.key IS NOT NULL AS gone FROM k LEFT JOIN frequent f ON k.key = f.key),
+    g AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+                 coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY r)
+    SELECT d.doc_id, g.n_lines::BIGINT AS n_lines, g.n_dropped::BIGINT AS n_dropped, sha256(g.kept) AS kept_sha256
+    FROM d JOIN g ON d.r = g.r
+    """,
+)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(documents(spark, sf_dir), min_docs=10, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op8_exact_dedup",
+    """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+    SELECT d.doc_id, g.keep_id, g.group_size::BIGINT AS group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
+    FROM d JOIN g ON d.t = g.t
+    """,
+)
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(documents(spark, sf_dir))
