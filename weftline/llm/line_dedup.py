@@ -12,18 +12,13 @@ from pyspark.sql import functions as F
 from weftline.llm.common import SPACES, ascii_lower, materialize, row_key, small, text_of
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACES)))
-
-
 def _hashes(lines: Column, min_chars: int) -> Column:
-    """One struct of two hashes a line, null where the key is shorter than min_chars."""
-
-    def one(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(17), key).alias("b")))
+    """One struct of two hashes a line, null where the key is shorter than min_chars.
 
-    return F.transform(lines, one)
+    The transforms are nested so that each line is trimmed and lower-cased once.
+    """
+    keys = F.transform(F.transform(lines, lambda x: F.btrim(x, F.lit(SPACES))), ascii_lower)
+    return F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(17), k).alias("b"))))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -37,7 +32,9 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col
     held = docs.drop("n_lines", "n_dropped")
     lines = F.split(text_of(text_col), "\n", -1)
     keyed = held.select("*", *row_key(F.col(id_col), text_of(text_col)))
-    hashed = keyed.select("__k1", "__k2", F.explode(F.array_distinct(F.filter(_hashes(lines, min_chars), lambda h: h.isNotNull()))).alias("__h"))
+    exploded = keyed.select("__k1", "__k2", F.explode(F.array_distinct(F.filter(_hashes(lines, min_chars), lambda h: h.isNotNull()))).alias("__h"))
+
+    hashed = materialize(exploded, "line-hashes")  # two steps read it, so texts are taken apart once
 
     counted = hashed.groupBy(F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
     frequent = materialize(counted.where(F.col("__n") >= min_docs).select("__a", "__b"), "frequent-lines")
@@ -45,11 +42,11 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col
     found = hashed.select("__k1", "__k2", F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b")).join(small(frequent), ["__a", "__b"])
     per_row = found.groupBy("__k1", "__k2").agg(F.collect_set(F.struct(F.col("__a").alias("a"), F.col("__b").alias("b"))).alias("__drop"))
 
-    joined = keyed.join(per_row.hint("merge"), ["__k1", "__k2"], "left")
-    paired = F.arrays_zip(lines.alias("line"), _hashes(lines, min_chars).alias("hash"))
+    joined = keyed.join(per_row.hint("merge"), ["__k1", "__k2"], "left").withColumn("__lines", lines)
+    paired = F.arrays_zip(F.col("__lines").alias("line"), _hashes(F.col("__lines"), min_chars).alias("hash"))
     kept = F.filter(paired, lambda p: p["hash"].isNull() | ~F.array_contains(F.col("__drop"), p["hash"]))
-    out = joined.withColumn("__kept", F.when(F.col("__drop").isNull(), lines).otherwise(F.transform(kept, lambda p: p["line"])))
-    n_lines = F.size(lines).cast("long")
+    out = joined.withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.transform(kept, lambda p: p["line"])))
+    n_lines = F.size("__lines").cast("long")
     return out.select(
         *[F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(c) for c in held.columns],
         n_lines.alias("n_lines"),
