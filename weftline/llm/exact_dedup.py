@@ -25,7 +25,7 @@ CHUNK = 1 << 16
 #: Code points above which a text is hashed as several rows.
 HUGE = 1 << 20
 #: Members of a group that one stream compares.
-STREAM = 2000
+STREAM = 256
 
 _FP = T.StructType([T.StructField(c, T.LongType()) for c in ("fp1", "fp2", "nbytes")])
 
