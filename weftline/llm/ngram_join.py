@@ -20,13 +20,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.common import bounded_batches, materialize, small, text_of
 from weftline.llm.components import components
-from weftline.llm.shingles import set_key, shingle_sets
+from weftline.llm.shingles import most_common, set_bits, set_key, shingle_sets
 
 #: Shingles that a task counts at once, and how often one must occur there to be taken for frequent.
-COUNTED, FREQUENT = 2_000_000, 8
+COUNTED, FREQUENT = 2_000_000, 3
 #: Frequent shingles that are sent to all tasks; which ones are known changes the cost only, never the result.
 KNOWN = 1 << 20
 #: Largest number of shared shingles that may be asked for; costs of a prefix row, a posting met and a verification.
@@ -57,7 +58,7 @@ def choose_prefix(df: np.ndarray, n: int, num: int, den: int) -> tuple[int, int,
 
 
 def _profiles(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows of kind 0: id, size and key of a document's set; of kind 1: a frequent shingle and its count in a block."""
+    """Rows of kind 0: id, size, key and bitmap of a document's set; of kind 1: a frequent shingle and its count in a block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -66,12 +67,12 @@ def _profiles(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
         def frequent() -> pd.DataFrame:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= FREQUENT
-            return pd.DataFrame({"kind": np.int32(1), "id": None, "n": counts[often].astype(np.int64), "k": values[often].view(np.int64)}).astype({"id": "Int64"})
+            return pd.DataFrame({"kind": np.int32(1), "id": None, "n": counts[often].astype(np.int64), "k": values[often].view(np.int64), "bits": None}).astype({"id": "Int64"})
 
         for pdf in batches:
             sets = shingle_sets(pdf["text"].tolist(), width)
             keys = [set_key(s) for s in sets]
-            yield pd.DataFrame({"kind": np.int32(0), "id": pdf["id"].astype("Int64"), "n": np.array([len(s) for s in sets], np.int64), "k": np.array(keys, np.int64)})
+            yield pd.DataFrame({"kind": np.int32(0), "id": pdf["id"].astype("Int64"), "n": np.array([len(s) for s in sets], np.int64), "k": np.array(keys, np.int64), "bits": [set_bits(s) for s in sets]})
             for s, k in zip(sets, keys, strict=True):
                 if len(s) and k not in seen:
                     seen.add(k)
@@ -220,6 +221,18 @@ def _verified(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator
     return run
 
 
+def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose bitmaps allow the overlap that they need; no pair that has it is lost."""
+
+    @F.pandas_udf(T.BooleanType())
+    def enough(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([(num + den) * most_common(*x) >= num * (x[2] + x[3]) for x in zip(a, b, n, m, strict=True)], dtype=bool)
+
+    sides = [classes.select(F.col("k").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "xy"]
+    both = pairs.join(sides[0].hint("merge"), "x").join(sides[1].hint("merge"), "y")
+    return both.where(enough("bits_x", "bits_y", "n_x", "n_y")).select("x", "y")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (x, y) of classes whose sets reach the threshold, as (a, b)."""
     degree = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("d")).select("x", F.ceil(F.col("d") / STREAM).alias("salts"))
@@ -266,9 +279,9 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100,
     bounded_batches(spark)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    profiled = materialize(texts.mapInPandas(_profiles(width), "kind int, id long, n long, k long"), "profiles")
+    profiled = materialize(texts.mapInPandas(_profiles(width), "kind int, id long, n long, k long, bits binary"), "profiles")
     rows = profiled.where("kind = 0").select("id", "n", "k")
-    classes = rows.where("n > 0").groupBy("k").agg(F.min("id").alias("first"))
+    classes = materialize(profiled.where("kind = 0 AND n > 0").groupBy("k").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits")), "classes")
 
     tallied = materialize(profiled.where("kind = 1").groupBy("k").agg(F.sum("n").alias("d")), "frequent-shingles")
     sizes = {r["e"]: r["m"] for r in tallied.groupBy(F.floor(F.log2("d")).alias("e")).agg(F.count(F.lit(1)).alias("m")).collect()}  # a row per power of two
@@ -289,10 +302,10 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100,
 
     # n holds the most that a pair can share, p what it must, i the prefix shingles that it does share
     stars = met.where("kind = 0").groupBy("x", "y").agg(F.max("n").alias("n"), F.first("p").alias("p"), F.first("l").alias("l"), F.sum("i").alias("i")).where("n >= p AND i >= l").select("x", "y")
-    classes = materialize(classes, "classes")
-    near = materialize(_verify(materialize(stars, "stars"), texts, classes, width, num, den), "near")
+    stars = materialize(_plausible(stars, classes, num, den), "stars")
+    near = materialize(_verify(stars, texts, classes, width, num, den), "near")
     labels = components(near)
-    rest = materialize(_residual(met.where("kind = 1"), labels, num, den), "residual")
+    rest = materialize(_plausible(_residual(met.where("kind = 1"), labels, num, den), classes, num, den), "residual")
     if not rest.isEmpty():
         further = materialize(_verify(rest, texts, classes, width, num, den), "further")
         if not further.isEmpty():

@@ -91,3 +91,23 @@ def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
 def set_key(s: np.ndarray) -> int:
     """A signed 64-bit key of a set, whatever its order."""
     return int((mix(s ^ _U(0xA5A5F00DCAFEBEEF)).sum(dtype=np.uint64) + _U(len(s))).astype(np.int64)) if len(s) else 0
+
+
+def set_bits(s: np.ndarray) -> bytes:
+    """A bitmap of at least four bits an element; its length is a power of two."""
+    size = 64
+    while size < 4 * len(s):
+        size *= 2
+    marked = np.zeros(size, bool)
+    marked[(s & _U(size - 1)).astype(np.int64)] = True
+    return np.packbits(marked, bitorder="little").tobytes()
+
+
+def most_common(a: bytes, b: bytes, n: int, m: int) -> int:
+    """No two sets of n and m elements with these bitmaps share more: bits that differ stand for elements that do."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return (n + m - int(np.bitwise_count(x ^ y).sum())) // 2
