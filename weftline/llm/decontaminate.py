@@ -15,15 +15,21 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import ascii_lower, materialize, row_key, small, text_of
 
-#: Letters, digits and all that is not ASCII, once A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words: ASCII that is neither a letter nor a digit, once A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows whose shingles are broadcast at a time; larger benchmarks take several passes.
 BLOCK = 50_000
 SHINGLE = 3
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    """The words of a text; only the first and the last piece between separators can be empty."""
+
+    def inner(p: Column) -> Column:
+        head = F.when(p[0] == "", 1).otherwise(0)
+        return F.slice(p, head + 1, F.greatest(F.size(p) - head - F.when(F.element_at(p, -1) == "", 1).otherwise(0), F.lit(0)))
+
+    return F.transform(F.array(F.split(ascii_lower(text), BETWEEN, -1)), inner)[0]  # one element, so that the text is split once
 
 
 def _shingles(ws: Column, size: int) -> Column:
