@@ -9,7 +9,9 @@ from weftline.llm.decontaminate import find_windows
 from weftline.llm.exact_dedup import exact_dedup
 from weftline.llm.line_dedup import line_dedup
 from weftline.llm.ngram_join import near_groups
+from weftline.llm.packing import pack_documents
 from weftline.llm.secret_scan import ALLOW, CLASSES, secret_scan, spelled
+from weftline.llm.token_files import checksums, read_tokens, token_folder, write_tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +153,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_windows(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
     n_hit = F.size("hits").cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query("op1_token_binary")
+def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_folder(spark)
+    files = write_tokens(documents(spark, sf_dir), folder)
+    return checksums(read_tokens(spark, folder, files))
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))

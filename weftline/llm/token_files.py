@@ -40,6 +40,14 @@ _TOTALS = _LENGTHS.sum(axis=1)
 _MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
+def _head(*sizes: int) -> bytes:
+    return _HEAD.pack(*sizes)
+
+
+def _sizes(head: bytes) -> tuple[int, int, int, int]:
+    return _HEAD.unpack(head)
+
+
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes; the last control byte's unused codes are 0 and have no data."""
     ranks = np.ascontiguousarray(ranks, np.dtype("<u4"))
@@ -112,7 +120,7 @@ def _written(folder: str, rank_of) -> Callable[[Iterator[pd.DataFrame]], Iterato
                 control, data = encode_ranks(ranks[flat])
                 told["docs"] += len(parts)
                 told["tokens"] += len(flat)
-                return b"".join([_HEAD.pack(len(parts), len(flat), len(control), len(data)), np.array(doc_ids, "<i8").tobytes(), np.array([len(x) for x in parts], "<u8").tobytes(), control, data])
+                return b"".join([_head(len(parts), len(flat), len(control), len(data)), np.array(doc_ids, "<i8").tobytes(), np.array([len(x) for x in parts], "<u8").tobytes(), control, data])
 
             for pdf in batches:
                 for doc_id, n, squeezed in zip(pdf["id"].astype("Int64"), pdf["n"], pdf["block"], strict=True):
@@ -166,8 +174,8 @@ def _read(folder: str, rank_path: str) -> Callable[[Iterator[pd.DataFrame]], Ite
             for part, start in zip(pdf["part"], pdf["start"], strict=True):
                 system, path = _place(f"{folder}/part-{part:05d}.wtb")
                 with system.open_input_stream(path) as f:
-                    while head := f.read(_HEAD.size):
-                        n_docs, n, n_control, n_data = _HEAD.unpack(head)
+                    while head := f.read(32):
+                        n_docs, n, n_control, n_data = _sizes(head)
                         doc_ids, counts = np.frombuffer(f.read(8 * n_docs), "<i8"), np.frombuffer(f.read(8 * n_docs), "<u8").astype(np.int64)
                         flat = by_rank[decode_ranks(f.read(n_control), f.read(n_data), n)]
                         ends = np.cumsum(counts)
