@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.decontaminate import find_windows
 from weftline.llm.exact_dedup import exact_dedup
+from weftline.llm.language_id import fit, identify, is_held_out
 from weftline.llm.line_dedup import line_dedup
 from weftline.llm.ngram_join import near_groups
 from weftline.llm.packing import pack_documents
@@ -165,3 +166,10 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = fit(docs.where(~is_held_out()))
+    return identify(docs, profiles).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
