@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from weftline.llm.decontaminate import find_windows
 from weftline.llm.exact_dedup import exact_dedup
 from weftline.llm.language_id import fit, identify, is_held_out
+from weftline.llm.license_scan import license_scan
 from weftline.llm.line_dedup import line_dedup
+from weftline.llm.lm_score import lm_score, train
 from weftline.llm.ngram_join import near_groups
 from weftline.llm.packing import pack_documents
 from weftline.llm.secret_scan import ALLOW, CLASSES, secret_scan, spelled
@@ -173,3 +175,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     profiles = fit(docs.where(~is_held_out()))
     return identify(docs, profiles).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan(documents(spark, sf_dir))
+    spelt = F.transform("findings", lambda x: F.concat_ws(":", x["line"], x["license"], x["missing"], x["extra"]))
+    names = F.array_sort(F.array_distinct(F.transform("findings", lambda x: x["license"])))
+    return out.select("doc_id", F.size("findings").cast("long").alias("n_findings"), F.array_join(names, ",").alias("licenses"), F.array_join(spelt, ",").alias("findings"))
+
+
+@query("op10_lm_score")
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return lm_score(docs, train(docs))
