@@ -34,8 +34,8 @@ KNOWN = 1 << 20
 LONGEST, ROW, MEET, VERIFY = 6, 1.0, 1.0, 8.0
 #: Postings of one shingle beyond which they are dealt to several buckets; members of a verification stream.
 SPLIT, STREAM = 50_000, 500
-#: Prefix rows of one bucket.
-BUCKET = 1_000_000
+#: Prefix rows of one bucket; bytes of sets in a batch on their way to verification.
+BUCKET, SENT = 1_000_000, 4 << 20
 
 _POSTING = np.dtype([("t", "<u8"), ("k", "<i8"), ("n", "<i4"), ("p", "<i4"), ("l", "u1"), ("i", "u1")])
 
@@ -188,16 +188,23 @@ def _ceil(a: np.ndarray, b: int) -> np.ndarray:
 def _sent(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """The set of each class asked for, once for every stream that needs it."""
 
+    def rows(held: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(held, columns=["hub", "salt", "role", "k", "set"]).astype({"hub": "int64", "salt": "int64", "role": "int32", "k": "int64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            hub, salt, role, key, data = [], [], [], [], []
+            held, size = [], 0
             for s, k, to in zip(shingle_sets(pdf["text"].tolist(), width), pdf["k"], pdf["to"], strict=True):
                 if set_key(s) != k:
                     continue
                 block = s.tobytes()
                 for x in to:
-                    hub.append(x["hub"]), salt.append(x["salt"]), role.append(x["role"]), key.append(k), data.append(block)
-            yield pd.DataFrame({"hub": np.array(hub, np.int64), "salt": np.array(salt, np.int64), "role": np.array(role, np.int32), "k": np.array(key, np.int64), "set": data})
+                    held.append((x["hub"], x["salt"], x["role"], k, block))
+                    size += len(block)
+                    if size >= SENT:
+                        yield rows(held)
+                        held, size = [], 0
+            yield rows(held)
 
     return run
 

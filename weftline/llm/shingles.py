@@ -6,7 +6,7 @@ import numpy as np
 
 _U = np.uint64
 #: Bytes hashed in one go; words are never cut.
-_SPAN = 1 << 20
+_SPAN = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
