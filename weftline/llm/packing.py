@@ -132,9 +132,9 @@ def _packed(vocabulary: str, capacity: int, batch: int) -> Callable[[Iterator[pd
             return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"} | dict.fromkeys(columns[1:], "int64"))
 
         for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
+            for doc_id, ids in zip(pdf["doc_id"].astype("Int64"), tok.documents(pdf["text"].tolist()), strict=True):
                 names.append(doc_id)
-                held.append(tok.document(text))
+                held.append(ids)
                 total += len(held[-1])
                 if total >= batch:
                     yield packed()

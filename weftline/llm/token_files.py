@@ -92,8 +92,7 @@ def _tokenized(vocabulary: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
         counts = np.zeros(1 << 16, np.int64)
         for pdf in batches:
             blocks, sizes = [], []
-            for text in pdf["text"]:
-                ids = tok.document(text)
+            for ids in tok.documents(pdf["text"].tolist()):
                 met = np.bincount(ids)
                 if len(met) > len(counts):
                     counts = np.concatenate([counts, np.zeros(len(met) - len(counts), np.int64)])

@@ -1,13 +1,14 @@
 """Whole texts to token ids with the tokenizers library, remembering the ids of words met before.
 
-The word vocabulary encodes each pre-token by itself. Texts of common characters are cut into pre-tokens here by the
-vocabulary's own pattern, and only words not met before go through the library; any other text goes through it whole.
+The word vocabulary encodes each pre-token by itself, and no pre-token holds white space. Texts of common characters are
+cut at white space, and only pieces not met before go through the library; any other text goes through it whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
@@ -21,59 +22,99 @@ END = 1
 #: Fixed value: the vocabulary's pre-token pattern, spelt for characters on which Python's classes agree with it.
 _PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Characters whose normal form, lower case or class needs the library; <| may begin a special token.
+_CONTROL = re.compile("[\0-\x08\x0e-\x1f\x7f]|<\\|")
 _ODD = re.compile("[^\t-\r -~¡-¬®-±´-¸º»¿-įı-ɏ‐-‧€]|<\\|")
-#: Words remembered by a process at once.
-REMEMBERED = 400_000
+#: Pieces remembered by a process at once.
+REMEMBERED = 500_000
 
 _held: dict[str, TextEncoder] = {}
 
 
+class Memo:
+    """Strings and the ids of each, as stretches of one array."""
+
+    def __init__(self) -> None:
+        self.places: dict[str, int] = {}
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def add(self, strings: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
+        """stops: where the ids of each string end."""
+        n, m = len(self.places), len(strings)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + m > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
+        self.flat[self.used : self.used + len(ids)] = ids
+        begins = np.concatenate([[0], stops[:-1]])
+        self.start[n : n + m], self.length[n : n + m] = self.used + begins, stops - begins
+        self.used += len(ids)
+        self.places.update(zip(strings, range(n, n + m), strict=True))
+
+    def find(self, strings: list[str]) -> np.ndarray:
+        """The place of each string, -1 for those not met."""
+        return np.fromiter(map(self.places.get, strings, repeat(-1)), np.int64, len(strings))
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings at these places in a row, and where those of each end."""
+        length = self.length[at]
+        ends = np.cumsum(length)
+        return self.flat[np.repeat(self.start[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class TextEncoder:
+    """Pieces between white space are looked up, their pre-tokens are where they are new, and new pre-tokens are encoded."""
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         shape = self.tokenizer.to_str(pretty=False)
         self.by_word = '"end_of_word_suffix":"</w>"' in shape and r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in shape
-        self._forget()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.pieces, self.words = Memo(), Memo()
 
-    def _forget(self) -> None:
-        self.places: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            ids, i = e.ids, len(self.places)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if i >= len(self.start):
-                self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[i], self.length[i] = self.used, len(ids)
-            self.used += len(ids)
-            self.places[word] = i
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text, as unsigned 32-bit numbers."""
-        if not self.by_word or _ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = _PRE_TOKEN.findall(text.lower())
-        if not words:
-            return np.empty(0, np.uint32)
-        if len(self.places) > REMEMBERED:
-            self._forget()
-        at = list(map(self.places.get, words))
-        if None in at:
-            self._learn([w for w in dict.fromkeys(words) if w not in self.places])
-            at = list(map(self.places.get, words))
-        at = np.array(at)
-        start, length = self.start[at], self.length[at]
-        ends = np.cumsum(length)
-        return self.flat[np.repeat(start - ends + length, length) + np.arange(ends[-1])]
+    def _learn(self, pieces: list[str]) -> None:
+        cut = [_PRE_TOKEN.findall(x) for x in pieces]
+        words = [w for x in cut for w in x]
+        if new := [w for w in dict.fromkeys(words) if w not in self.words.places]:
+            ids = self._whole(" ".join(new))
+            stops = np.flatnonzero(self.ends[ids]) + 1  # the ids that end a pre-token
+            if len(stops) != len(new):
+                each = [self._whole(w) for w in new]
+                ids, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
+            self.words.add(new, ids, stops)
+        ids, ends = self.words.ids(self.words.find(words))
+        self.pieces.add(pieces, ids, ends[np.cumsum([len(x) for x in cut]) - 1])
 
-    def document(self, text: str | None) -> np.ndarray:
-        """The ids of a document: those of its text (none for null) and the end id."""
-        ids = self.encode(text) if text else np.empty(0, np.uint32)
-        return np.append(ids, np.uint32(END))
+    def documents(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each whole text (none for null) and the end id, as unsigned 32-bit numbers."""
+        out: list = [np.array([END], np.uint32)] * len(texts)
+        plain, pieces, counts = [], [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.by_word or (_ODD.search(text) if not text.isascii() else _CONTROL.search(text)):
+                out[i] = np.append(self._whole(text), np.uint32(END))
+                continue
+            own = text.lower().split()
+            plain.append(i)
+            pieces += own
+            counts.append(len(own))
+        if len(self.pieces.places) > REMEMBERED or len(self.words.places) > REMEMBERED:
+            self.pieces, self.words = Memo(), Memo()
+        at = self.pieces.find(pieces)
+        if len(new := np.flatnonzero(at < 0)):
+            self._learn(list(dict.fromkeys(pieces[j] for j in new)))
+            at[new] = self.pieces.find([pieces[j] for j in new])
+        ids, ends = self.pieces.ids(at)
+        ends = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        joined = np.insert(ids, ends[1:], np.uint32(END))  # one end id after the ids of each text
+        for j, i in enumerate(plain):
+            out[i] = joined[ends[j] + j : ends[j + 1] + j + 1]
+        return out
 
 
 def encoder(path: str) -> TextEncoder:
