@@ -63,9 +63,12 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     c = np.frombuffer(control, np.uint8)
     total = _TOTALS[c]
     at = ((np.cumsum(total) - total)[:, None] + _OFFSETS[c]).reshape(-1)[:n]
+    codes = _CODES[c].reshape(-1)[:n]
     raw = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.uint32)
-    four = raw[at] | raw[at + 1] << np.uint32(8) | raw[at + 2] << np.uint32(16) | raw[at + 3] << np.uint32(24) if n else np.empty(0, np.uint32)
-    return four & _MASKS[_CODES[c].reshape(-1)[:n]]
+    out = np.zeros(n, np.uint32)
+    for j in range(int(codes.max(initial=0)) + 1):
+        out |= raw[at + j] << np.uint32(8 * j)
+    return out & _MASKS[codes]
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -92,11 +95,12 @@ def _tokenized(vocabulary: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
         counts = np.zeros(1 << 16, np.int64)
         for pdf in batches:
             blocks, sizes = [], []
-            for ids in tok.documents(pdf["text"].tolist()):
-                met = np.bincount(ids)
-                if len(met) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(met) - len(counts), np.int64)])
-                counts[: len(met)] += met
+            coded = tok.documents(pdf["text"].tolist())
+            met = np.bincount(np.concatenate(coded)) if coded else counts[:0]
+            if len(met) > len(counts):
+                counts = np.concatenate([counts, np.zeros(len(met) - len(counts), np.int64)])
+            counts[: len(met)] += met
+            for ids in coded:
                 blocks.append(squeeze.compress((ids.astype("<u2") if len(met) <= 1 << 16 else ids).tobytes()))
                 sizes.append(len(ids))
             yield pd.DataFrame({"kind": np.int32(0), "id": pdf["id"].astype("Int64"), "h": pdf["h"], "n": np.array(sizes, np.int64), "block": blocks})

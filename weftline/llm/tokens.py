@@ -37,6 +37,15 @@ class Memo:
         self.places: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.met = np.zeros(1 << 14, np.int64)
+
+    def often(self) -> Memo:
+        """A memo of the strings that were looked up more than once since they came."""
+        out = Memo()
+        kept = [(s, i) for s, i in self.places.items() if self.met[i] > 1]
+        if kept and len(kept) < REMEMBERED // 2:
+            out.add([s for s, _ in kept], *self.ids(np.array([i for _, i in kept])))
+        return out
 
     def add(self, strings: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
         """stops: where the ids of each string end."""
@@ -44,7 +53,7 @@ class Memo:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while n + m > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.met))
         self.flat[self.used : self.used + len(ids)] = ids
         begins = np.concatenate([[0], stops[:-1]])
         self.start[n : n + m], self.length[n : n + m] = self.used + begins, stops - begins
@@ -74,7 +83,7 @@ class TextEncoder:
         self.pieces, self.words = Memo(), Memo()
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, pieces: list[str]) -> None:
         cut = [_PRE_TOKEN.findall(x) for x in pieces]
@@ -86,7 +95,9 @@ class TextEncoder:
                 each = [self._whole(w) for w in new]
                 ids, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
             self.words.add(new, ids, stops)
-        ids, ends = self.words.ids(self.words.find(words))
+        at = self.words.find(words)
+        self.words.met[: len(self.words.places)] += np.bincount(at, minlength=len(self.words.places))
+        ids, ends = self.words.ids(at)
         self.pieces.add(pieces, ids, ends[np.cumsum([len(x) for x in cut]) - 1])
 
     def documents(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -104,11 +115,12 @@ class TextEncoder:
             pieces += own
             counts.append(len(own))
         if len(self.pieces.places) > REMEMBERED or len(self.words.places) > REMEMBERED:
-            self.pieces, self.words = Memo(), Memo()
+            self.pieces, self.words = self.pieces.often(), self.words.often()
         at = self.pieces.find(pieces)
         if len(new := np.flatnonzero(at < 0)):
             self._learn(list(dict.fromkeys(pieces[j] for j in new)))
             at[new] = self.pieces.find([pieces[j] for j in new])
+        self.pieces.met[: len(self.pieces.places)] += np.bincount(at, minlength=len(self.pieces.places))
         ids, ends = self.pieces.ids(at)
         ends = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
         joined = np.insert(ids, ends[1:], np.uint32(END))  # one end id after the ids of each text
