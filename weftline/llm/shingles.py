@@ -47,7 +47,12 @@ def _hash_span(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in their order, and the number of words of each text."""
-    encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    words, _, counts = located_words([t.encode("utf-8", "surrogatepass") for t in texts])
+    return words, counts
+
+
+def located_words(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes of encoded texts, with the offset of each word in ``b" ".join(encoded)``."""
     limits = np.cumsum([len(x) + 1 for x in encoded])
     data = _LOWER[np.frombuffer(b" ".join([*encoded, b""]), np.uint8)]
     hashes, places, at = [], [], 0
@@ -61,7 +66,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         places.append(s + at)
         at = end
     words, where = np.concatenate(hashes or [np.empty(0, np.uint64)]), np.concatenate(places or [np.empty(0, np.int64)])
-    return words, np.diff(np.searchsorted(where, limits, "left"), prepend=0)
+    return words, where, np.diff(np.searchsorted(where, limits, "left"), prepend=0)
 
 
 def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:

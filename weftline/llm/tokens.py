@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
 
 import numpy as np
 
@@ -16,6 +15,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import public_tokenizers  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
+from weftline.llm.shingles import located_words  # noqa: E402
+
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Id appended to every document.
 END = 1
@@ -24,45 +25,71 @@ _PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Characters whose normal form, lower case or class needs the library; <| may begin a special token.
 _CONTROL = re.compile("[\0-\x08\x0e-\x1f\x7f]|<\\|")
 _ODD = re.compile("[^\t-\r -~¡-¬®-±´-¸º»¿-įı-ɏ‐-‧€]|<\\|")
-#: Pieces remembered by a process at once.
-REMEMBERED = 500_000
+#: Pieces remembered by a process at once, and bytes in which most of them end.
+REMEMBERED, _PIECE = 1_000_000, 64
 
 _held: dict[str, TextEncoder] = {}
 
 
+def _piece(data: bytes, at: int) -> str:
+    """What stands before the next white space."""
+    size = _PIECE
+    while len(parts := data[at : at + size].split(None, 1)) < 2 and at + size < len(data):
+        size *= 8
+    return parts[0].decode()
+
+
 class Memo:
-    """Strings and the ids of each, as stretches of one array."""
+    """64-bit hashes of strings and the ids of each string, as stretches of one array.
 
-    def __init__(self) -> None:
-        self.places: dict[str, int] = {}
+    The hashes stand in an open-addressing table that is searched for many strings at once.
+    """
+
+    def __init__(self, bits: int = 16) -> None:
+        self.keys, self.values, self.mask = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), (1 << bits) - 1
+        self.count = 0
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-        self.met = np.zeros(1 << 14, np.int64)
-
-    def often(self) -> Memo:
-        """A memo of the strings that were looked up more than once since they came."""
-        out = Memo()
-        kept = [(s, i) for s, i in self.places.items() if self.met[i] > 1]
-        if kept and len(kept) < REMEMBERED // 2:
-            out.add([s for s, _ in kept], *self.ids(np.array([i for _, i in kept])))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each string, -1 for those not met. No hash is 0."""
+        out = np.full(len(hashes), -1, np.int64)
+        slot, left = (hashes & np.uint64(self.mask)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            key = self.keys[slot]
+            same = key == hashes[left]
+            out[left[same]] = self.values[slot[same]]
+            on = ~same & (key != 0)
+            left, slot = left[on], (slot[on] + 1) & self.mask
         return out
 
-    def add(self, strings: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
-        """stops: where the ids of each string end."""
-        n, m = len(self.places), len(strings)
+    def _enter(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        slot, left = (hashes & np.uint64(self.mask)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[left[free]]  # of several for one slot the last stays
+            won = self.keys[slot] == hashes[left]
+            self.values[slot[won]] = values[left[won]]
+            left, slot = left[~won], (slot[~won] + 1) & self.mask
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, stops: np.ndarray) -> None:
+        """Distinct strings not met before; stops: where the ids of each end."""
+        n, m = self.count, len(hashes)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while n + m > len(self.start):
-            self.start, self.length, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.met))
+            self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
         self.flat[self.used : self.used + len(ids)] = ids
         begins = np.concatenate([[0], stops[:-1]])
         self.start[n : n + m], self.length[n : n + m] = self.used + begins, stops - begins
         self.used += len(ids)
-        self.places.update(zip(strings, range(n, n + m), strict=True))
-
-    def find(self, strings: list[str]) -> np.ndarray:
-        """The place of each string, -1 for those not met."""
-        return np.fromiter(map(self.places.get, strings, repeat(-1)), np.int64, len(strings))
+        self.count += m
+        if 2 * self.count > self.mask:
+            bits = int(self.mask).bit_length() + 2
+            keys, values = self.keys[held := self.keys != 0], self.values[held]
+            self.keys, self.values, self.mask = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), (1 << bits) - 1
+            self._enter(keys, values)
+        self._enter(hashes, np.arange(n, n + m, dtype=np.int32))
 
     def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the strings at these places in a row, and where those of each end."""
@@ -85,44 +112,49 @@ class TextEncoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         cut = [_PRE_TOKEN.findall(x) for x in pieces]
         words = [w for x in cut for w in x]
-        if new := [w for w in dict.fromkeys(words) if w not in self.words.places]:
-            ids = self._whole(" ".join(new))
+        own = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64) | np.uint64(1)
+        at = self.words.find(own)
+        if (at < 0).any():
+            new, first = np.unique(own[at < 0], return_index=True)
+            strings = [words[i] for i in np.flatnonzero(at < 0)[first].tolist()]
+            ids = self._whole(" ".join(strings))
             stops = np.flatnonzero(self.ends[ids]) + 1  # the ids that end a pre-token
-            if len(stops) != len(new):
-                each = [self._whole(w) for w in new]
+            if len(stops) != len(strings):
+                each = [self._whole(w) for w in strings]
                 ids, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
             self.words.add(new, ids, stops)
-        at = self.words.find(words)
-        self.words.met[: len(self.words.places)] += np.bincount(at, minlength=len(self.words.places))
+            at = self.words.find(own)
         ids, ends = self.words.ids(at)
-        self.pieces.add(pieces, ids, ends[np.cumsum([len(x) for x in cut]) - 1])
+        self.pieces.add(hashes, ids, ends[np.cumsum([len(x) for x in cut]) - 1])
 
     def documents(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each whole text (none for null) and the end id, as unsigned 32-bit numbers."""
         out: list = [np.array([END], np.uint32)] * len(texts)
-        plain, pieces, counts = [], [], []
+        plain, encoded = [], []
         for i, text in enumerate(texts):
             if not text:
                 continue
             if not self.by_word or (_ODD.search(text) if not text.isascii() else _CONTROL.search(text)):
                 out[i] = np.append(self._whole(text), np.uint32(END))
                 continue
-            own = text.lower().split()
             plain.append(i)
-            pieces += own
-            counts.append(len(own))
-        if len(self.pieces.places) > REMEMBERED or len(self.words.places) > REMEMBERED:
-            self.pieces, self.words = self.pieces.often(), self.words.often()
-        at = self.pieces.find(pieces)
-        if len(new := np.flatnonzero(at < 0)):
-            self._learn(list(dict.fromkeys(pieces[j] for j in new)))
-            at[new] = self.pieces.find([pieces[j] for j in new])
-        self.pieces.met[: len(self.pieces.places)] += np.bincount(at, minlength=len(self.pieces.places))
+            encoded.append(text.lower().encode())
+        if max(self.pieces.count, self.words.count) > REMEMBERED:
+            self.pieces, self.words = Memo(), Memo()
+        hashes, where, counts = located_words(encoded)
+        hashes |= np.uint64(1)
+        at = self.pieces.find(hashes)
+        if (at < 0).any():
+            unknown = np.flatnonzero(at < 0)
+            new, first = np.unique(hashes[unknown], return_index=True)
+            data = b" ".join([*encoded, b""])
+            self._learn(new, [_piece(data, j) for j in where[unknown[first]].tolist()])
+            at[unknown] = self.pieces.find(hashes[unknown])
         ids, ends = self.pieces.ids(at)
-        ends = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        ends = np.concatenate([[0], ends])[np.cumsum([0, *counts.tolist()])]
         joined = np.insert(ids, ends[1:], np.uint32(END))  # one end id after the ids of each text
         for j, i in enumerate(plain):
             out[i] = joined[ends[j] + j : ends[j + 1] + j + 1]
