@@ -1 +1,3 @@
-"""Part of the weftline engine."""
+"""Transform blocks."""
+
+from weftline.operators import attributes, geometry, quality, spatial  # noqa: F401

@@ -1 +1,3 @@
-"""Part of the weftline engine."""
+"""Source blocks."""
+
+from weftline.sources import files, generator, remote  # noqa: F401
