@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.graph import components
 from weftline.llm.common import bounded_batches, materialize, small, text_of
-from weftline.llm.components import components
 from weftline.llm.shingles import most_common, set_bits, set_key, shingle_sets
 
 #: Shingles that a task counts at once, and how often one must occur there to be taken for frequent.
