@@ -6,25 +6,28 @@ a longer prefix (a larger l) where the counted frequencies of its shingles promi
 share min(l, l') prefix shingles before it is verified. The smaller set of a pair is matched by its shorter index
 prefix, the larger by its probe prefix.
 
-Links are needed only up to connectivity. First every shingle's classes are verified against one pivot of similar size;
-pairs that are joined by then need no further look. The pairs left over, in different components, get the exact
-treatment. So groups of near copies cost a number of pairs in proportion to their size.
+Links are needed only up to connectivity. First every shingle's classes are verified against one pivot of similar size,
+then classes outside a shingle's main component against members of it that the shingle chooses; pairs that are joined by
+then need no further look. The pairs left over, in different components, get the exact treatment. So groups of near
+copies cost a number of pairs in proportion to their size.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from weftline.functions.graph import components
 from weftline.llm.common import bounded_batches, materialize, small, text_of
-from weftline.llm.shingles import most_common, set_bits, set_key, shingle_sets
+from weftline.llm.shingles import most_common, set_bits, set_key, set_words, shingle_sets
 
 #: Shingles that a task counts at once, and how often one must occur there to be taken for frequent.
 COUNTED, FREQUENT = 2_000_000, 3
@@ -34,9 +37,12 @@ KNOWN = 1 << 20
 LONGEST, ROW, MEET, VERIFY = 6, 1.0, 1.0, 8.0
 #: Postings of one shingle beyond which they are dealt to several buckets; members of a verification stream.
 SPLIT, STREAM = 50_000, 500
+#: Most turns in which shingles choose further members before all pairs left over are looked at.
+TURNS = 3
 #: Prefix rows of one bucket; bytes of sets in a batch on their way to verification.
 BUCKET, SENT = 1_000_000, 4 << 20
 
+_WORDS = tuple(f"w{i}" for i in range(8))
 _POSTING = np.dtype([("t", "<u8"), ("k", "<i8"), ("n", "<i4"), ("p", "<i4"), ("l", "u1"), ("i", "u1")])
 
 
@@ -51,8 +57,8 @@ def choose_prefix(df: np.ndarray, n: int, num: int, den: int) -> tuple[int, int,
     """
     probe, index = n - _needed(n, num, den), n - _needed(2 * n * num, 1, num + den)
     most = min(LONGEST, _needed(n, num, den))
-    met = np.cumsum(df[: probe + most])
-    costs = [(ROW * (probe + m) + met[probe + m - 1] * (MEET + VERIFY / m), m) for m in range(1, most + 1)]
+    met = np.cumsum(df[: index + most])
+    costs = [(ROW * (probe + m) + met[min(n, index + m) - 1] * (MEET + VERIFY / m), m) for m in range(1, most + 1)]
     m = min(costs)[1]
     return m, min(n, index + m), min(n, probe + m)
 
@@ -67,12 +73,13 @@ def _profiles(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
         def frequent() -> pd.DataFrame:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= FREQUENT
-            return pd.DataFrame({"kind": np.int32(1), "id": None, "n": counts[often].astype(np.int64), "k": values[often].view(np.int64), "bits": None}).astype({"id": "Int64"})
+            return pd.DataFrame({"kind": np.int32(1), "id": None, "n": counts[often].astype(np.int64), "k": values[often].view(np.int64), "bits": None} | dict.fromkeys(_WORDS, np.int64(0))).astype({"id": "Int64"})
 
         for pdf in batches:
             sets = shingle_sets(pdf["text"].tolist(), width)
             keys = [set_key(s) for s in sets]
-            yield pd.DataFrame({"kind": np.int32(0), "id": pdf["id"].astype("Int64"), "n": np.array([len(s) for s in sets], np.int64), "k": np.array(keys, np.int64), "bits": [set_bits(s) for s in sets]})
+            words = np.array([set_words(s) for s in sets], np.int64).reshape(-1, len(_WORDS))
+            yield pd.DataFrame({"kind": np.int32(0), "id": pdf["id"].astype("Int64"), "n": np.array([len(s) for s in sets], np.int64), "k": np.array(keys, np.int64), "bits": [set_bits(s) for s in sets]} | {c: words[:, i] for i, c in enumerate(_WORDS)})
             for s, k in zip(sets, keys, strict=True):
                 if len(s) and k not in seen:
                     seen.add(k)
@@ -255,21 +262,67 @@ def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int,
     return dealt.mapInPandas(_verified(num, den), "a long, b long")
 
 
-def _residual(postings: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidates (x, y) in different components that share enough prefix shingles."""
-    named = postings.join(labels.hint("merge"), F.col("y") == F.col("k"), "left").select(F.col("x").alias("t"), "y", "n", "p", "l", "i", F.coalesce("c", "y").alias("c"))
+def _ranked(postings: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings of shared shingles with a, the shared shingles of the class before them, and the class's bitmap of 512 bits;
+    postings that cannot lead to a pair go.
+
+    A shingle before a common one is known to both prefixes if it is common too. So of the p shingles before a posting
+    only a can be common, and the set misses p - a for good: too many for a larger partner, or for any.
+    """
+    ranked = postings.withColumn("a", F.row_number().over(Window.partitionBy("y").orderBy("p")) - 1)
+    left = F.col("n") - F.col("p") + F.col("a")
+    index = (F.col("i") == 1) & (left * (num + den) >= F.col("n") * 2 * num)
+    kept = ranked.where(left * den >= F.col("n") * num).withColumn("i", index.cast("int"))
+    return kept.join(classes.select(F.col("k").alias("y"), *_WORDS).hint("merge"), "y")
+
+
+def _named(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings of shingles that more than one component holds, with components and each shingle's main one."""
+    named = postings.join(labels.hint("merge"), F.col("y") == F.col("k"), "left").select(F.col("x").alias("t"), "y", "n", "p", "a", "l", "i", *_WORDS, F.coalesce("c", "y").alias("c"))
     by = named.groupBy("t", "c").agg(F.count(F.lit(1)).alias("d"))
     mixed = by.groupBy("t").agg(F.max(F.struct("d", "c")).alias("top"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("t", F.col("top.c").alias("main"))
-    live = materialize(named.join(mixed.hint("merge"), "t"), "mixed-postings")
-    left = live.where("c <> main").select("t", *[F.col(x).alias(f"{x}1") for x in ("y", "n", "p", "l", "i", "c")])
-    right = live.select("t", "main", *[F.col(x).alias(f"{x}2") for x in ("y", "n", "p", "l", "i", "c")])
+    return materialize(named.join(mixed.hint("merge"), "t"), "mixed-postings")
+
+
+def _sides(live: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Postings outside their shingle's main component, all postings, and whether two may be a pair by sizes, roles, places and bitmaps."""
+    left = live.where("c <> main").select("t", *[F.col(x).alias(f"{x}1") for x in ("y", "n", "p", "a", "l", "i", "c", *_WORDS)])
+    right = live.select("t", "main", *[F.col(x).alias(f"{x}2") for x in ("y", "n", "p", "a", "l", "i", "c", *_WORDS)])
     first = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("y1") < F.col("y2")))
-    fits = F.when(first, (F.col("i1") == 1) & (F.col("n1") * den >= F.col("n2") * num)).otherwise((F.col("i2") == 1) & (F.col("n2") * den >= F.col("n1") * num))
+    shared = F.least("l1", "l2")
+
+    def roles(a: str, b: str) -> Column:
+        """a is the smaller set: sizes fit, and the shingle stands in its index prefix and in b's probe prefix for what must be shared."""
+        n, p, m, q = F.col(f"n{a}"), F.col(f"p{a}"), F.col(f"n{b}"), F.col(f"p{b}")
+        index = (n - p + shared) * (num + den) > n * 2 * num
+        probe = (m - q + shared) * den > m * num
+        return (F.col(f"i{a}") == 1) & (n * den >= m * num) & index & probe
+
+    fits = F.when(first, roles("1", "2")).otherwise(roles("2", "1"))
+    most = F.least("a1", "a2") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
+    both = F.col("n1") + F.col("n2")
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{w}1").bitwiseXOR(F.col(f"{w}2"))) for w in _WORDS])
+    return left, right, fits & (most * (num + den) >= both * num) & ((both - differ) * (num + den) >= both * 2 * num)
+
+
+def _more_stars(live: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of a chosen member of each shingle's main component with the shingle's classes outside it.
+
+    Every shingle chooses for itself, and anew in each turn, so a class outside meets as many members as it has shingles.
+    """
+    left, right, fits = _sides(live, num, den)
+    hubs = right.where("c2 = main").groupBy("t").agg(F.max_by(F.struct("y2", "n2", "p2", "a2", "l2", "i2", *[f"{w}2" for w in _WORDS]), F.xxhash64("y2", "t", F.lit(turn))).alias("h")).select("t", "h.*")
+    met = left.join(hubs.hint("merge"), "t").where(fits)
+    return met.select(F.col("y2").alias("x"), F.col("y1").alias("y")).distinct()
+
+
+def _residual(live: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidates (x, y) in different components that share enough prefix shingles."""
+    left, right, fits = _sides(live, num, den)
     once = (F.col("c2") == F.col("main")) | (F.col("y1") < F.col("y2"))
-    room = F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
     met = left.join(right.hint("merge"), "t").where((F.col("c1") != F.col("c2")) & once & fits)
-    pairs = met.groupBy(F.least("y1", "y2").alias("x"), F.greatest("y1", "y2").alias("y")).agg(F.count(F.lit(1)).alias("d"), F.min(F.least("l1", "l2")).alias("l"), F.max(room).alias("room"), F.min(F.col("n1") + F.col("n2")).alias("both"))
-    return pairs.where((F.col("d") >= F.col("l")) & (F.col("room") * (num + den) >= F.col("both") * num)).select("x", "y")
+    pairs = met.groupBy(F.least("y1", "y2").alias("x"), F.greatest("y1", "y2").alias("y")).agg(F.count(F.lit(1)).alias("d"), F.min(F.least("l1", "l2")).alias("l"))
+    return pairs.where("d >= l").select("x", "y")
 
 
 def near_groups(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -286,9 +339,9 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100,
     bounded_batches(spark)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    profiled = materialize(texts.mapInPandas(_profiles(width), "kind int, id long, n long, k long, bits binary"), "profiles")
+    profiled = materialize(texts.mapInPandas(_profiles(width), "kind int, id long, n long, k long, bits binary, w0 long, w1 long, w2 long, w3 long, w4 long, w5 long, w6 long, w7 long"), "profiles")
     rows = profiled.where("kind = 0").select("id", "n", "k")
-    classes = materialize(profiled.where("kind = 0 AND n > 0").groupBy("k").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits")), "classes")
+    classes = materialize(profiled.where("kind = 0 AND n > 0").groupBy("k").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits"), *[F.min(w).alias(w) for w in _WORDS]), "classes")
 
     tallied = materialize(profiled.where("kind = 1").groupBy("k").agg(F.sum("n").alias("d")), "frequent-shingles")
     sizes = {r["e"]: r["m"] for r in tallied.groupBy(F.floor(F.log2("d")).alias("e")).agg(F.count(F.lit(1)).alias("m")).collect()}  # a row per power of two
@@ -312,7 +365,17 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100,
     stars = materialize(_plausible(stars, classes, num, den), "stars")
     near = materialize(_verify(stars, texts, classes, width, num, den), "near")
     labels = components(near)
-    rest = materialize(_plausible(_residual(met.where("kind = 1"), labels, num, den), classes, num, den), "residual")
+    postings = materialize(_ranked(met.where("kind = 1"), classes, num, den), "postings")
+    live = _named(postings, labels)
+    for turn in range(TURNS):
+        more = materialize(_plausible(_more_stars(live, turn, num, den), classes, num, den), "more-stars")
+        found = materialize(_verify(more, texts, classes, width, num, den), "more-near")
+        if found.isEmpty():
+            break
+        near = near.union(found)
+        labels = components(near)
+        live = _named(postings, labels)
+    rest = materialize(_plausible(_residual(live, num, den), classes, num, den), "residual")
     if not rest.isEmpty():
         further = materialize(_verify(rest, texts, classes, width, num, den), "further")
         if not further.isEmpty():

@@ -108,6 +108,13 @@ def set_bits(s: np.ndarray) -> bytes:
     return np.packbits(marked, bitorder="little").tobytes()
 
 
+def set_words(s: np.ndarray) -> np.ndarray:
+    """A bitmap of 512 bits as eight signed 64-bit numbers."""
+    marked = np.zeros(512, bool)
+    marked[(s & _U(511)).astype(np.int64)] = True
+    return np.packbits(marked, bitorder="little").view("<i8")
+
+
 def most_common(a: bytes, b: bytes, n: int, m: int) -> int:
     """No two sets of n and m elements with these bitmaps share more: bits that differ stand for elements that do."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
