@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +20,29 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+_clear: dict[str, Callable[[], None]] = {}
+_owner = ""
+
+
+def worker_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Name the function that empties what an operator remembers in a Python worker."""
+    _clear[owner] = clear
+
+
+def take_worker(owner: str) -> None:
+    """Called by a task before it fills the caches of owner: what other operators left in this worker process goes."""
+    global _owner
+    if _owner == owner:
+        return
+    _owner = owner
+    for name, clear in _clear.items():
+        if name != owner:
+            clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows allow it, else with a hint for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import bounded_batches
+from weftline.llm.common import bounded_batches, take_worker, worker_cache
 
 DIMENSION, ORDER, SEED = 1024, 3, 20240607
 #: Symbols: 0 for all that is no letter, a-z, and the other letters dealt over the rest.
@@ -42,10 +42,15 @@ class NgramVectors:
 
     @classmethod
     def get(cls) -> NgramVectors:
+        take_worker("language")
         if cls.held is None:
             cls.held = cls()
         return cls.held
 
+    @classmethod
+    def forget(cls) -> None:
+        cls.held = None
+
     @staticmethod
     def _symbol(code: int) -> int:
         if 97 <= code <= 122:
@@ -93,6 +98,9 @@ class NgramVectors:
         return total
 
 
+worker_cache("language", NgramVectors.forget)
+
+
 @dataclass(frozen=True)
 class Profiles:
     """Language names in order, and their prototypes scaled to length 1."""

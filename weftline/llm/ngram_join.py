@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weftline.functions.graph import components
-from weftline.llm.common import bounded_batches, materialize, small, text_of
+from weftline.llm.common import bounded_batches, materialize, small, take_worker, text_of
 from weftline.llm.shingles import most_common, set_bits, set_key, set_words, shingle_sets
 
 #: Shingles that a task counts at once, and how often one must occur there to be taken for frequent.
@@ -67,6 +67,7 @@ def _profiles(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
     """Rows of kind 0: id, size, key and bitmap of a document's set; of kind 1: a frequent shingle and its count in a block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        take_worker("ngram")
         held: list[np.ndarray] = []
         total, seen = 0, set()
 
@@ -98,6 +99,7 @@ def _prefixes(width: int, num: int, den: int, buckets: int, known) -> Callable[[
     """Prefix postings of each class met, in blocks by bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        take_worker("ngram")
         tokens, counts = known.value
         seen: set[int] = set()
         held: list[np.ndarray] = []
@@ -174,6 +176,7 @@ def _pivots(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
         yield pairs.assign(kind=np.int32(0))[columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        take_worker("ngram")
         now, blocks = None, []
         for pdf in batches:
             for bucket, block in zip(pdf["bucket"], pdf["block"], strict=True):

@@ -15,6 +15,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import public_tokenizers  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
+from weftline.llm.common import take_worker, worker_cache  # noqa: E402
 from weftline.llm.shingles import located_words  # noqa: E402
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -163,6 +164,10 @@ class TextEncoder:
 
 def encoder(path: str) -> TextEncoder:
     """One encoder a process and vocabulary file."""
+    take_worker("tokens")
     if path not in _held:
         _held[path] = TextEncoder(path)
     return _held[path]
+
+
+worker_cache("tokens", _held.clear)
