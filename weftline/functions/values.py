@@ -131,7 +131,7 @@ def number_text(x: Column) -> Column:
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
     mantissa = F.when(n > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(digits)
     scientific = F.concat(mantissa, F.lit("E"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
-    shaped = F.when(~body.contains("E"), plain).when((e >= 0) & (e < 15), whole).when((e < 0) & (e >= -5), small).otherwise(scientific)
+    shaped = F.when(~body.contains("E"), plain).when((e >= 0) & (e < 15), whole).when((e < 0) & (e >= -4), small).otherwise(scientific)
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), raw).otherwise(F.concat(sign, shaped))
 
 

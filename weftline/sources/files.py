@@ -84,13 +84,21 @@ def json_text(x) -> str | None:
         return None
     if isinstance(x, bool):
         return "true" if x else "false"
-    if isinstance(x, (dict, list)):
-        return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
-    return str(x)
+    return _compact(x) if isinstance(x, (dict, list)) else str(x)
 
 
 class _Raw(str):
-    pass
+    """A number's own text."""
+
+
+def _compact(x) -> str:
+    if isinstance(x, _Raw):
+        return str(x)
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_compact(v)}" for k, v in x.items()) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(map(_compact, x)) + "]"
+    return json.dumps(x, ensure_ascii=False)
 
 
 def parse_json(text: str):
