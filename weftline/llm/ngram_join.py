@@ -373,11 +373,14 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100,
     for turn in range(TURNS):
         more = materialize(_plausible(_more_stars(live, turn, num, den), classes, num, den), "more-stars")
         found = materialize(_verify(more, texts, classes, width, num, den), "more-near")
-        if found.isEmpty():
+        new = found.count()
+        if not new:
             break
         near = near.union(found)
         labels = components(near)
         live = _named(postings, labels)
+        if new * 100 < near.count():  # hardly any more come this way
+            break
     rest = materialize(_plausible(_residual(live, num, den), classes, num, den), "residual")
     if not rest.isEmpty():
         further = materialize(_verify(rest, texts, classes, width, num, den), "further")
