@@ -5,8 +5,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +39,29 @@ def take_worker(owner: str) -> None:
     for name, clear in _clear.items():
         if name != owner:
             clear()
+    rest_worker()
+
+
+def rest_worker() -> None:
+    """Give freed memory back to the system."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f, with the worker's freed memory given back when the task ends."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            rest_worker()
+
+    return run
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows allow it, else with a hint for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

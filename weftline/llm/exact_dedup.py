@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import materialize, small, text_of
+from weftline.llm.common import materialize, small, text_of, tidy
 
 #: Primes just below 2**31, and bases drawn once.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -131,7 +131,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     first = F.col("__id").eqNullSafe(F.col("keep_id"))
     dealt = pairs.where(F.octet_length("text") == F.col("nbytes")).select(*fp, "text", F.when(first, 0).otherwise(1).alias("role"), F.explode(F.when(first, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("__id"), salts)))).alias("salt"))
     shuffled = dealt.repartition(*[F.col(c) for c in (*fp, "salt")]).sortWithinPartitions(*fp, "salt", "role")
-    differing = materialize(shuffled.mapInPandas(_differing, _FP).distinct(), "differing")
+    differing = materialize(shuffled.mapInPandas(tidy(_differing), _FP).distinct(), "differing")
 
     told = rows.withColumn("__variant", F.lit(""))
     if not differing.isEmpty():  # texts of one fingerprint differ: those groups split by what the texts are

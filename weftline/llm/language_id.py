@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import bounded_batches, take_worker, worker_cache
+from weftline.llm.common import bounded_batches, take_worker, tidy, worker_cache
 
 DIMENSION, ORDER, SEED = 1024, 3, 20240607
 #: Symbols: 0 for all that is no letter, a-z, and the other letters dealt over the rest.
 SYMBOLS = 64
 UNDETERMINED = "und"
-#: n-gram vectors that a process keeps.
-KEPT = 1 << 16
+#: n-gram vectors that a process keeps; those of rarer n-grams are made anew.
+KEPT = 1 << 14
 
 _SCORED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -82,19 +82,21 @@ class NgramVectors:
     def bundle(self, ngrams: np.ndarray) -> np.ndarray:
         """The sum of the vectors of n-grams, exact in float64."""
         codes, counts = np.unique(ngrams, return_counts=True)
-        new = codes[self.slots[codes] < 0]
-        if len(new) and self.used + len(new) <= KEPT:
+        new = codes[self.slots[codes] < 0][: KEPT - self.used]
+        if len(new):
             while self.used + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
             self.rows[self.used : self.used + len(new)] = self._bound(new)
             self.slots[new] = np.arange(self.used, self.used + len(new))
             self.used += len(new)
-            new = new[:0]
         total = np.zeros(DIMENSION)
-        for i in range(0, len(codes), 4096):
-            part = codes[i : i + 4096]
-            rows = self._bound(part) if len(new) else self.rows[self.slots[part]]
-            total += counts[i : i + 4096].astype(np.float32) @ rows.astype(np.float32) if counts[i : i + 4096].sum() < 1 << 24 else counts[i : i + 4096].astype(np.float64) @ rows.astype(np.float64)
+        for i in range(0, len(codes), 2048):
+            slots, n = self.slots[codes[i : i + 2048]], counts[i : i + 2048]
+            rows = self.rows[np.maximum(slots, 0)]
+            if (slots < 0).any():
+                rows[slots < 0] = self._bound(codes[i : i + 2048][slots < 0])
+            exact = np.float32 if n.sum() < 1 << 24 else np.float64
+            total += n.astype(exact) @ rows.astype(exact)
         return total
 
 
@@ -112,8 +114,7 @@ class Profiles:
         """struct(lang_pred, score): und and 0 for null, letterless texts and without any profile; score is the cosine, at least 0."""
         names, vectors = self.names, self.vectors
 
-        @F.pandas_udf(_SCORED)
-        def scored(texts: pd.Series) -> pd.DataFrame:
+        def one(texts: pd.Series) -> pd.DataFrame:
             make, out = NgramVectors.get(), []
             for t in texts:
                 ngrams = make.ngrams(t) if t else np.empty(0, np.int64)
@@ -126,6 +127,10 @@ class Profiles:
                 out.append((names[best], float(min(1.0, max(0.0, cosines[best])))))
             return pd.DataFrame(out, columns=["lang_pred", "score"])
 
+        @F.pandas_udf(_SCORED)
+        def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            yield from tidy(lambda parts: map(one, parts))(batches)
+
         return scored(text)
 
 
@@ -147,7 +152,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     """
     bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sums = rows.mapInPandas(_bundles, "lang string, d int, v long").groupBy("lang", "d").agg(F.sum("v").alias("v")).toPandas()
+    sums = rows.mapInPandas(tidy(_bundles), "lang string, d int, v long").groupBy("lang", "d").agg(F.sum("v").alias("v")).toPandas()
     names, vectors = [], []
     for lang, part in sums.sort_values(["lang", "d"]).groupby("lang"):
         v = part["v"].to_numpy(np.float64)

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weftline.functions.graph import components
-from weftline.llm.common import bounded_batches, materialize, small, take_worker, text_of
+from weftline.llm.common import bounded_batches, materialize, small, take_worker, text_of, tidy
 from weftline.llm.shingles import most_common, set_bits, set_key, set_words, shingle_sets
 
 #: Shingles that a task counts at once, and how often one must occur there to be taken for frequent.
@@ -92,7 +92,7 @@ def _profiles(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
         if held:
             yield frequent()
 
-    return run
+    return tidy(run)
 
 
 def _prefixes(width: int, num: int, den: int, buckets: int, known) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -143,7 +143,7 @@ def _prefixes(width: int, num: int, den: int, buckets: int, known) -> Callable[[
         if held:
             yield dealt()
 
-    return run
+    return tidy(run)
 
 
 def _pivots(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -188,7 +188,7 @@ def _pivots(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
         if blocks:
             yield from paired(blocks)
 
-    return run
+    return tidy(run)
 
 
 def _ceil(a: np.ndarray, b: int) -> np.ndarray:
@@ -216,7 +216,7 @@ def _sent(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
                         held, size = [], 0
             yield rows(held)
 
-    return run
+    return tidy(run)
 
 
 def _verified(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -235,7 +235,7 @@ def _verified(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator
                         a.append(row.hub), b.append(row.k)
             yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return run
+    return tidy(run)
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_batches
+from weftline.llm.common import bounded_batches, tidy
 from weftline.llm.tokens import WORD_VOCABULARY, encoder
 
 CAPACITY = 2048
@@ -141,8 +141,9 @@ def _packed(vocabulary: str, capacity: int, batch: int) -> Callable[[Iterator[pd
                     names, held, total = [], [], 0
         if held:
             yield packed()
+        tok.forget()
 
-    return run
+    return tidy(run)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD_VOCABULARY, batch: int = BATCH, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_batches, materialize, scratch_path
+from weftline.llm.common import bounded_batches, materialize, scratch_path, tidy
 from weftline.llm.tokens import WORD_VOCABULARY, encoder
 
 #: Ids of a block (a longer document is a block of its own); code points of text for each file.
@@ -107,7 +107,7 @@ def _tokenized(vocabulary: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
         met = np.flatnonzero(counts)
         yield pd.DataFrame({"kind": np.int32(1), "id": pd.array(met, "Int64"), "h": np.int64(0), "n": counts[met], "block": None})
 
-    return run
+    return tidy(run)
 
 
 def _written(folder: str, rank_of) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -140,7 +140,7 @@ def _written(folder: str, rank_of) -> Callable[[Iterator[pd.DataFrame]], Iterato
         write_whole(f"{folder}/part-{part:05d}.wtb", blocks())
         yield pd.DataFrame([told]).astype({"part": "int32", "docs": "int64", "tokens": "int64"})
 
-    return run
+    return tidy(run)
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str = WORD_VOCABULARY, text_col: str = "text", id_col: str = "doc_id", file_chars: int = FILE_CHARS) -> list[tuple[int, int, int]]:
@@ -185,7 +185,7 @@ def _read(folder: str, rank_path: str) -> Callable[[Iterator[pd.DataFrame]], Ite
                         yield pd.DataFrame({"id": pd.array([None if i == NULL_ID else i for i in doc_ids.tolist()], "Int64"), "start": start + ends - counts, "n_tokens": counts, "ids": [x.tobytes() for x in np.split(flat.astype("<u4"), ends[:-1])]})
                         start += n
 
-    return run
+    return tidy(run)
 
 
 def read_tokens(spark, folder: str, files: list[tuple[int, int, int]], id_col: str = "doc_id") -> DataFrame:
@@ -205,7 +205,7 @@ def checksums(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for pdf in batches:
             yield pdf.assign(ids_crc32=np.array([zlib.crc32(x) for x in pdf["ids"]], np.int64)).drop(columns="ids")
 
-    return coded.mapInPandas(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+    return coded.mapInPandas(tidy(run), f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_folder(spark) -> str:

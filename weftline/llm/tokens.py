@@ -108,6 +108,10 @@ class TextEncoder:
         self.by_word = '"end_of_word_suffix":"</w>"' in shape and r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in shape
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all that is remembered."""
         self.pieces, self.words = Memo(), Memo()
 
     def _whole(self, text: str) -> np.ndarray:
@@ -144,7 +148,7 @@ class TextEncoder:
             plain.append(i)
             encoded.append(text.lower().encode())
         if max(self.pieces.count, self.words.count) > REMEMBERED:
-            self.pieces, self.words = Memo(), Memo()
+            self.forget()
         hashes, where, counts = located_words(encoded)
         hashes |= np.uint64(1)
         at = self.pieces.find(hashes)
