@@ -304,3 +304,18 @@ def test_streaming(spark, tmp_path):
     assert spark.sql("SELECT sum(n) FROM windows").first()[0] == 61
     with pytest.raises(ValueError):
         StreamPipeline(stream).then("TransformAggregator", groupBy="k", aggregates="count:*")
+
+
+def test_json_folder(spark, tmp_path):
+    """Several documents: fields of all, types that fit all values."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('[{"id": 1, "v": "1"}, {"id": 2}]')
+    (tmp_path / "in" / "b.json").write_text('[{"id": 3, "v": "x", "w": true}]')
+    df = apply(spark, "SourceJson", None, path=str(tmp_path / "in"))
+    assert df.dtypes == [("id", "bigint"), ("v", "string"), ("w", "boolean")]
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "1", False), (2, "", False), (3, "x", True)]
+    (tmp_path / "none.json").write_text("[]")
+    assert apply(spark, "SourceJson", None, path=str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "bad.json").write_text("{}")
+    with pytest.raises(Exception, match="array"):
+        apply(spark, "SourceJson", None, path=str(tmp_path / "bad.json"))

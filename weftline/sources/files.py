@@ -9,13 +9,14 @@ import sqlite3
 import struct
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.values import ORD, c, lenient
+from weftline.functions.values import ORD, c, is_blank, lenient
+from weftline.functions.values import parse as parse_text
 from weftline.geo import functions as g
 from weftline.geo import wkb
 from weftline.plans.registry import BlockContext, Char, block
@@ -127,14 +128,53 @@ def catalog_frame(spark: SparkSession, names: list[str], rows: list[dict], geome
     return text_frame(spark, ordered, clean, CATALOG, sample, geometry)
 
 
+def parsed_frame(ctx: BlockContext, path: str, parse: Callable[[bytes], Iterable[dict]], ladder=PLAIN, sample: int | None = None, geometry: str | None = None, alphabetical: bool = False) -> DataFrame:
+    """Documents of a path, folder or pattern, each parsed by a task of its own into rows of texts; then typed columns.
+
+    Fields come in the order in which they are first seen, or by name. Their types fit all values, or those of the first
+    ``sample`` rows of each document. What reaches the driver is one row a field.
+    """
+
+    def read(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                held = []
+                for i, row in enumerate(parse(bytes(content))):
+                    shape = row.pop("\0geometry", None)
+                    held.append((name, i, list(row), list(row.values()), shape))
+                    if len(held) >= 5000:
+                        yield pd.DataFrame(held, columns=["path", "i", "keys", "vals", "shape"])
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=["path", "i", "keys", "vals", "shape"])
+
+    documents = ctx.spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = documents.mapInPandas(read, "path string, i long, keys array<string>, vals array<string>, shape binary")
+    cells = (rows if sample is None else rows.where(F.col("i") < sample)).select("path", "i", F.posexplode(F.arrays_zip("keys", "vals")).alias("at", "cell")).select("path", "i", "at", "cell.keys", "cell.vals")
+    filled = ~is_blank(c("vals"))
+    fits = {kind: F.bool_and(F.when(filled, parse_text(c("vals"), kind).isNotNull())) for kind, _ in CATALOG}
+    known = cells.groupBy("keys").agg(F.min(F.struct("path", "i", "at")).alias("first"), F.count(F.when(filled, 1)).alias("n"), *[F.coalesce(x, F.lit(False)).alias(k.simpleString()) for k, x in fits.items()]).collect()
+    known.sort(key=(lambda r: r["keys"].lower()) if alphabetical else (lambda r: r["first"]))
+    types = {r["keys"]: next((t for t, _ in ladder if r["n"] and r[t.simpleString()]), T.StringType()) for r in known if not geometry or r["keys"].lower() != geometry.lower()}
+    numbered_rows = rows.select(F.map_from_arrays("keys", "vals").alias("m"), "shape", F.monotonically_increasing_id().alias(ORD))
+    text = lambda n: F.try_element_at("m", F.lit(n))
+    fields = [(lenient(text(n), t) if not isinstance(t, T.StringType) else F.coalesce(text(n), F.lit(""))).alias(n) for n, t in types.items()]
+    return numbered_rows.select(*fields, *([c("shape").alias(geometry, metadata=GEOM)] if geometry else []), c(ORD))
+
+
+def json_rows(data: bytes) -> Iterator[dict]:
+    found = parse_json(data.decode("utf-8-sig"))
+    if not isinstance(found, list):
+        raise ValueError("the JSON document must be an array")
+    return ({k: json_text(v) for k, v in x.items()} for x in found if isinstance(x, dict))
+
+
 @block("SourceJson", "source")
 def json_source(ctx: BlockContext, path: str, batchSize: int = 1000) -> DataFrame:
     """A top-level array; elements that are no objects are skipped."""
-    found = parse_json(whole_text(ctx.spark, path).decode("utf-8-sig"))
-    if not isinstance(found, list):
-        raise ValueError("the JSON document must be an array")
-    rows = [{k: json_text(v) for k, v in x.items()} for x in found if isinstance(x, dict)]
-    return text_frame(ctx.spark, _keys(rows), rows)
+    return parsed_frame(ctx, path, json_rows)
 
 
 def geojson_rows(text: str) -> tuple[list[str], list[dict]]:
@@ -153,8 +193,7 @@ def geojson_rows(text: str) -> tuple[list[str], list[dict]]:
 @block("SourceGeoJson", "source")
 def geojson(ctx: BlockContext, path: str, geometryColumn: str = "geom", batchSize: int = 1000) -> DataFrame:
     """A FeatureCollection of any of the six simple types; a geometry that is no object is null."""
-    names, rows = geojson_rows(whole_text(ctx.spark, path).decode("utf-8-sig"))
-    return text_frame(ctx.spark, [n for n in names if n.lower() != geometryColumn.lower()], rows, geometry=geometryColumn)
+    return parsed_frame(ctx, path, lambda data: geojson_rows(data.decode("utf-8-sig"))[1], geometry=geometryColumn)
 
 
 def _local(tag: str) -> str:
@@ -188,8 +227,7 @@ def gml_rows(data: bytes, more: tuple[str, ...] = ()) -> tuple[list[str], list[d
 
 @block("SourceGml", "source")
 def gml(ctx: BlockContext, path: str, geometryColumn: str = "geom", batchSize: int = 1000, schemaSampleRows: int = 256) -> DataFrame:
-    names, rows = gml_rows(whole_text(ctx.spark, path))
-    return catalog_frame(ctx.spark, names, rows, geometryColumn, schemaSampleRows)
+    return parsed_frame(ctx, path, lambda data: gml_rows(data)[1], CATALOG, schemaSampleRows, geometryColumn, alphabetical=True)
 
 
 # --- shapefiles ------------------------------------------------------------------------------------------------------
