@@ -319,3 +319,15 @@ def test_json_folder(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{}")
     with pytest.raises(Exception, match="array"):
         apply(spark, "SourceJson", None, path=str(tmp_path / "bad.json"))
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from weftline.functions.scratch import materialize, release
+
+    df = materialize(spark.range(3), "t")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 3 and os.path.exists(path)
+    release(spark)
+    assert not os.path.exists(path)

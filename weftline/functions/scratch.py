@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_roots: dict[str, str] = {}
+_paths: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -24,7 +25,16 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/weftline-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/weftline-{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every scratch table made so far; to be called once no result that reads one is needed any more."""
+    while _paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
