@@ -7,6 +7,8 @@ The type of the field decides how its literal is read; everything wrong is repor
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,17 +24,26 @@ class PredicateError(ValueError):
     pass
 
 
+#: A part of a predicate: its Column, or that of its negation.
+Node = Callable[[bool], Column]
+
+
+def _joined(a: Node, b: Node, plain: Callable, negative: Callable) -> Node:
+    return lambda negated: (negative if negated else plain)(a(negated), b(negated))
+
+
 class _Parser:
     def __init__(self, text: str, schema: T.StructType):
         self.text, self.at, self.schema = text, 0, schema
 
     def whole(self) -> Column:
+        """Positive conditions stay bare, so that scans can take them over; under a negation null counts as false."""
         if not self.text.strip():
             raise PredicateError("the predicate is empty")
         out = self.either()
         if self.rest():
             raise PredicateError(f"unexpected '{self.rest()}' in predicate '{self.text}'")
-        return out
+        return out(False)
 
     def rest(self) -> str:
         return self.text[self.at :].strip()
@@ -45,27 +56,29 @@ class _Parser:
             return True
         return False
 
-    def either(self) -> Column:
+    def either(self) -> Node:
         out = self.both()
         while self.take("||"):
-            out = out | self.both()
+            out = _joined(out, self.both(), or_, and_)
         return out
 
-    def both(self) -> Column:
+    def both(self) -> Node:
         out = self.unary()
         while self.take("&&"):
-            out = out & self.unary()
+            out = _joined(out, self.unary(), and_, or_)
         return out
 
-    def unary(self) -> Column:
+    def unary(self) -> Node:
         if self.take("!"):
-            return ~self.unary()
+            inner = self.unary()
+            return lambda negated: inner(not negated)
         if self.take("("):
             out = self.either()
             if not self.take(")"):
                 raise PredicateError(f"a parenthesis is not closed in '{self.text}'")
             return out
-        return self.condition()
+        col = self.condition()
+        return lambda negated: ~F.coalesce(col, F.lit(False)) if negated else col
 
     def condition(self) -> Column:
         begin, quote = self.at, ""
@@ -93,7 +106,7 @@ class _Parser:
             found = find_field(self.schema, field)
         except ValueError as e:
             raise PredicateError(str(e)) from e
-        return F.coalesce(compare(found, op, value), F.lit(False))
+        return compare(found, op, value)
 
 
 def compare(field: T.StructField, op: str, value: str) -> Column:
@@ -102,7 +115,9 @@ def compare(field: T.StructField, op: str, value: str) -> Column:
         if op not in _COMPARE:
             raise PredicateError(f"operator '{op}' does not fit the number field '{field.name}'")
         try:
-            return _COMPARE[op](col.cast("double"), F.lit(float(value.replace(",", ""))))
+            number = float(value.replace(",", ""))
+            whole = isinstance(field.dataType, T.IntegralType) and number.is_integer() and abs(number) < 1 << 53
+            return _COMPARE[op](col, F.lit(int(number))) if whole else _COMPARE[op](col.cast("double"), F.lit(number))
         except ValueError as e:
             raise PredicateError(f"'{value}' is no number for field '{field.name}'") from e
     if isinstance(field.dataType, T.BooleanType):
@@ -130,5 +145,5 @@ def compare(field: T.StructField, op: str, value: str) -> Column:
 
 
 def predicate(text: str, schema: T.StructType) -> Column:
-    """The Column of a predicate; never null."""
+    """The Column of a predicate, for filters and branches: null counts as false."""
     return _Parser(text, schema).whole()
