@@ -23,6 +23,8 @@ from weftline.llm.common import bounded_batches, tidy
 from weftline.llm.tokens import WORD_VOCABULARY, encoder
 
 CAPACITY = 2048
+#: Pieces of text remembered by a task, and MB of text in a batch; packing runs beside whatever else fills an executor.
+REMEMBERED, TEXT_MB = 250_000, 1
 #: Ids packed together, and the share of padding up to which the window count rises.
 BATCH, PADDING = 1 << 20, 0.002
 
@@ -113,7 +115,7 @@ def pack(sizes: list[int], capacity: int = CAPACITY, padding: float = PADDING) -
 
 def _packed(vocabulary: str, capacity: int, batch: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = encoder(vocabulary)
+        tok = encoder(vocabulary, REMEMBERED)
         serial = TaskContext.get().partitionId() << 40
         names: list = []
         held: list[np.ndarray] = []
@@ -154,5 +156,5 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str =
     holds at most ``capacity`` ids without gaps; documents of a batch of about ``batch`` ids share sequences, and a
     longer document is a batch with those before it.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, mb=TEXT_MB)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(_packed(vocabulary, capacity, batch), SCHEMA)

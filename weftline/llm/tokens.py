@@ -102,12 +102,14 @@ class Memo:
 class TextEncoder:
     """Pieces between white space are looked up, their pre-tokens are where they are new, and new pre-tokens are encoded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int):
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         shape = self.tokenizer.to_str(pretty=False)
         self.by_word = '"end_of_word_suffix":"</w>"' in shape and r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in shape
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -147,7 +149,7 @@ class TextEncoder:
                 continue
             plain.append(i)
             encoded.append(text.lower().encode())
-        if max(self.pieces.count, self.words.count) > REMEMBERED:
+        if max(self.pieces.count, self.words.count) > self.remembered:
             self.forget()
         hashes, where, counts = located_words(encoded)
         hashes |= np.uint64(1)
@@ -166,11 +168,12 @@ class TextEncoder:
         return out
 
 
-def encoder(path: str) -> TextEncoder:
-    """One encoder a process and vocabulary file."""
+def encoder(path: str, remembered: int = REMEMBERED) -> TextEncoder:
+    """One encoder a process and vocabulary file, which remembers so many pieces at most."""
     take_worker("tokens")
     if path not in _held:
-        _held[path] = TextEncoder(path)
+        _held[path] = TextEncoder(path, remembered)
+    _held[path].remembered = remembered
     return _held[path]
 
 
