@@ -295,6 +295,21 @@ def test_near_groups_random(spark):
     assert grouped(docs_of(spark, texts)) == brute_groups(list(enumerate(texts)))
 
 
+def test_near_groups_split(spark):
+    """Short texts that share a passage with long ones link although its postings are dealt to many parts."""
+    rng = random.Random(12)
+    texts = []
+    for g in range(8):
+        passage = [f"p{g}_{i}" for i in range(92)]
+        texts += [" ".join([f"l{g}_{i}_{j}" for j in range(600)] + passage) for i in range(12)]
+        texts += [" ".join([f"s{g}_{i}_{j}" for j in range(12)] + passage) for i in range(2)]
+    rng.shuffle(texts)
+    want = brute_groups(list(enumerate(texts)))
+    assert len({c for *_, c in want}) == 8 * 13
+    got = near_groups(docs_of(spark, texts), split=2).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+
+
 def test_near_edges(spark):
     rows = [(r.doc_id, r.text) for r in odd_docs(spark).collect()]
     assert grouped(odd_docs(spark)) == brute_groups(rows)

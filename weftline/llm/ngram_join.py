@@ -95,7 +95,16 @@ def _profiles(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
     return tidy(run)
 
 
-def _prefixes(width: int, num: int, den: int, buckets: int, known) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _parts(known: tuple[np.ndarray, np.ndarray], shingles: np.ndarray, split: int) -> np.ndarray:
+    """To how many parts the postings of each shingle are dealt."""
+    tokens, counts = known
+    if not len(tokens):
+        return np.ones(len(shingles), np.int64)
+    at = np.minimum(np.searchsorted(tokens, shingles), len(tokens) - 1)
+    return np.where(tokens[at] == shingles, -(-counts[at] // split), 1)
+
+
+def _prefixes(width: int, num: int, den: int, buckets: int, known, split: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Prefix postings of each class met, in blocks by bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,10 +117,8 @@ def _prefixes(width: int, num: int, den: int, buckets: int, known) -> Callable[[
         def dealt() -> pd.DataFrame:
             rows = np.concatenate(held)
             bucket = (rows["t"] >> np.uint64(33)).astype(np.int64)
-            if len(tokens):
-                at = np.minimum(np.searchsorted(tokens, rows["t"]), len(tokens) - 1)
-                parts = np.where(tokens[at] == rows["t"], -(-counts[at] // SPLIT), 1)
-                bucket += np.where(parts > 1, (rows["k"] & 0xFFFFFFFF) % parts, 0)
+            parts = _parts(known.value, rows["t"], split)
+            bucket += np.where(parts > 1, (rows["k"] & 0xFFFFFFFF) % parts, 0)
             bucket %= buckets
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
@@ -146,8 +153,9 @@ def _prefixes(width: int, num: int, den: int, buckets: int, known) -> Callable[[
     return tidy(run)
 
 
-def _pivots(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """From the blocks of each bucket: pairs with pivots (kind 0), and the postings of shared shingles (kind 1)."""
+def _pivots(num: int, den: int, known, split: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """From the blocks of each bucket: pairs with pivots (kind 0), the postings of shared shingles (kind 1), and all
+    postings of shingles dealt to several parts (kind 2), of which a bucket can't tell whether they are shared."""
     step = math.log(den / num)
     columns = ["kind", "x", "y", "n", "p", "l", "i"]
 
@@ -159,10 +167,12 @@ def _pivots(num: int, den: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
         edge = np.concatenate([[True], rows["t"][1:] != rows["t"][:-1]])
         run = np.cumsum(edge) - 1
         shared = (np.bincount(run) > 1) & (np.bincount(run, rows["i"]) > 0)
-        rows = rows[shared[run]]
+        dealt = _parts(known.value, rows["t"], split) > 1
+        kept = shared[run] | dealt
+        rows, dealt = rows[kept], dealt[kept]
         if not len(rows):
             return
-        yield pd.DataFrame({"kind": np.int32(1), "x": rows["t"].view(np.int64) if rows["t"].flags.c_contiguous else rows["t"].astype(np.uint64).view(np.int64), "y": rows["k"], "n": rows["n"], "p": rows["p"], "l": rows["l"].astype(np.int32), "i": rows["i"].astype(np.int32)})[columns]
+        yield pd.DataFrame({"kind": np.where(dealt, 2, 1).astype(np.int32), "x": rows["t"].view(np.int64) if rows["t"].flags.c_contiguous else rows["t"].astype(np.uint64).view(np.int64), "y": rows["k"], "n": rows["n"], "p": rows["p"], "l": rows["l"].astype(np.int32), "i": rows["i"].astype(np.int32)})[columns]
         band = np.floor(np.log(rows["n"]) / step).astype(np.int64)
         edge = np.concatenate([[True], (rows["t"][1:] != rows["t"][:-1]) | (band[1:] != band[:-1])])
         run = np.cumsum(edge) - 1
@@ -265,6 +275,13 @@ def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int,
     return dealt.mapInPandas(_verified(num, den), "a long, b long")
 
 
+def _shared(met: DataFrame) -> DataFrame:
+    """The postings of shared shingles; those of a shingle dealt to several parts are counted over all of them."""
+    dealt = met.where("kind = 2")
+    shared = dealt.groupBy("x").agg(F.count(F.lit(1)).alias("d"), F.max("i").alias("any")).where("d > 1 AND any > 0").select("x")
+    return met.where("kind = 1").unionByName(dealt.join(small(materialize(shared, "shared-parts")), "x").select(*met.columns))
+
+
 def _ranked(postings: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Postings of shared shingles with a, the shared shingles of the class before them, and the class's bitmap of 512 bits;
     postings that cannot lead to a pair go.
@@ -328,7 +345,7 @@ def _residual(live: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where("d >= l").select("x", "y")
 
 
-def near_groups(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, text_col: str = "text", id_col: str = "doc_id", split: int = SPLIT) -> DataFrame:
     """One row per input row: id_col (long), n_shingles, component_id.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. Two rows link when the Jaccard similarity of
@@ -336,7 +353,8 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100,
     of fewer words has its whole sequence as one shingle. A null, empty or blank text has no shingle and is a component
     of its own. Repeated rows link with each other; rows with a null id join components without naming them, and a
     component of null ids alone has a null component_id. An empty table gives an empty table; other columns are not
-    read. Sets are compared by 64-bit hashes of their shingles.
+    read. Sets are compared by 64-bit hashes of their shingles. ``split`` is the count of a shingle beyond which its
+    postings are dealt to several tasks; it changes the cost only.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -359,16 +377,16 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100,
 
     shingles = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffles, -(-shingles * (den - num) // (den * BUCKET)))
-    blocks = texts.mapInPandas(_prefixes(width, num, den, buckets, known), "bucket int, block binary")
+    blocks = texts.mapInPandas(_prefixes(width, num, den, buckets, known, split), "bucket int, block binary")
     dealt = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    met = materialize(dealt.mapInPandas(_pivots(num, den), "kind int, x long, y long, n int, p int, l int, i int"), "met")
+    met = materialize(dealt.mapInPandas(_pivots(num, den, known, split), "kind int, x long, y long, n int, p int, l int, i int"), "met")
 
     # n holds the most that a pair can share, p what it must, i the prefix shingles that it does share
     stars = met.where("kind = 0").groupBy("x", "y").agg(F.max("n").alias("n"), F.first("p").alias("p"), F.first("l").alias("l"), F.sum("i").alias("i")).where("n >= p AND i >= l").select("x", "y")
     stars = materialize(_plausible(stars, classes, num, den), "stars")
     near = materialize(_verify(stars, texts, classes, width, num, den), "near")
     labels = components(near)
-    postings = materialize(_ranked(met.where("kind = 1"), classes, num, den), "postings")
+    postings = materialize(_ranked(_shared(met), classes, num, den), "postings")
     live = _named(postings, labels)
     for turn in range(TURNS):
         more = materialize(_plausible(_more_stars(live, turn, num, den), classes, num, den), "more-stars")
