@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -452,6 +453,17 @@ def test_model_prefers_real_text(spark):
     assert train(docs).flat.tobytes() == model.flat.tobytes()
 
 
+def test_every_position_is_trained(monkeypatch):
+    lm = importlib.import_module("weftline.llm.lm_score")
+    met = []
+    monkeypatch.setattr(Network, "learn", lambda self, ids, at, squares: met.extend(at.tolist()))
+    texts = ["a b c", "d", "", "e f g h i j k l m n"]
+    for turn in range(lm.ROUNDS):
+        state = type("State", (), {"value": (np.empty(0, np.uint64), np.empty(0, np.int64), Network.start().flat(), turn)})
+        list(lm._trained(state)(iter([pd.DataFrame({"text": texts})])))
+    assert sorted(met) == numbered(texts, np.empty(0, np.uint64), np.empty(0, np.int64))[1].tolist()
+
+
 def test_lm_edges(spark):
     model = train(odd_docs(spark).limit(0))
     assert lm_score(odd_docs(spark), model).count() == 5 and lm_score(odd_docs(spark).limit(0), model).count() == 0
