@@ -415,6 +415,17 @@ def test_license_wording():
     assert differences(["a", "b", "c"], ["x", "a", "q", "c", "y"]) == (["b"], ["q"])
 
 
+def test_license_every_notice():
+    one = "Released under the MIT License. Licensed under CC BY 4.0."
+    assert [x[:2] for x in findings(one)] == [(0, "MIT"), (0, "CC-BY-4.0")]
+    assert [x[:2] for x in findings("Copyright (c) 2020 X\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT License.")] == [(1, "Apache-2.0"), (2, "MIT")]
+    rng = random.Random(13)
+    for _ in range(20):
+        chosen = [rng.choice(TEMPLATES) for _ in range(rng.randint(1, 5))]
+        text = " ".join(" ".join(rng.choices(["lorem", "ipsum", "dolor", "copyright"], k=rng.randint(3, 200))) + ". " + t for _, t in chosen)
+        assert [x[1] for x in findings(text)] == [name for name, _ in chosen], text
+
+
 def test_license_planted(spark):
     notices = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
     for r in license_scan(spark.read.parquet(f"{SF}/documents.parquet")).collect():

@@ -1,8 +1,9 @@
 """License scanning by conditional compression.
 
-Lines that hold a cue, alone and with the lines of their paragraph that follow, are candidate blocks. Each block is
-compressed with every template as a raw zstandard dictionary; the templates that save the most bytes are looked at in
-that order, and the first whose wording differs from the block in no word that tells licenses apart is the finding.
+A line that holds a cue and the lines of its paragraph that follow are a candidate block. Every template has a word that
+tells it apart and that no notice of it may lack; around each place of that word in a block, a window as long as the
+template is compressed with the template as a raw zstandard dictionary. Where that saves enough bytes and the wording
+differs in no word that tells licenses apart, the notice is confirmed. Of notices that overlap the longest is reported.
 """
 
 from __future__ import annotations
@@ -46,10 +47,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 #: Fixed value: words that make a line worth compressing.
 CUE = r"(?i)licen[cs]e|copyright|permission|redistribut|free software|public domain|rights reserved|creative commons"
-#: Templates confirmed a block, lines of a paragraph joined to a cue, share of a wording that may differ, and the least saving.
-LOOKED_AT, JOINED, SLACK, SAVING = 3, 12, 0.12, 0.2
+#: Lines of a paragraph joined to a cue, share of a wording that may differ, and the least saving.
+JOINED, SLACK, SAVING = 12, 0.12, 0.2
 #: Names and conditions that tell licenses apart, besides all words with digits.
 TELLING = frozenset("mit apache gnu general lesser affero gpl lgpl agpl cc by nc nd sa creative commons attribution noncommercial sharealike noderivatives bsd mozilla mpl isc unlicense public domain reserved waived permission redistribution version not no".split())
+#: Telling words that are too common to look for a template by.
+_COMMON = frozenset("by no not version general public".split())
 
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _cue = re.compile(CUE)
@@ -60,72 +63,93 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _plain(own: list[str]) -> bytes:
+    """What is compressed of these words; case, wrapping and punctuation don't count."""
+    return (" ".join(own) + " . ").encode()
+
+
 @cache
 def _compressors() -> tuple:
     options = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-    make = lambda text=None: zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(19, **options), **({"dict_data": zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if text else {}))
+    make = lambda text=None: zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(19, **options), **({"dict_data": zstandard.ZstdCompressionDict(_plain(words(text)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if text else {}))
     return make(), [make(text) for _, text in TEMPLATES], [words(text) for _, text in TEMPLATES]
 
 
+def _saving(data: bytes, i: int) -> float:
+    alone, conditional, _ = _compressors()
+    return 1 - len(conditional[i].compress(data)) / len(alone.compress(data))
+
+
 def ranked(block: str) -> list[tuple[float, int]]:
     """(share of bytes saved, template) by falling share; ties go to the earlier template."""
-    alone, conditional, _ = _compressors()
-    data = block.encode()
-    size = len(alone.compress(data))
-    return sorted(((1 - len(c.compress(data)) / size, i) for i, c in enumerate(conditional)), key=lambda x: (-x[0], x[1]))
+    data = _plain(words(block))
+    return sorted(((_saving(data, i), i) for i in range(len(TEMPLATES))), key=lambda x: (-x[0], x[1]))
 
 
-def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
-    """Words of the template that the block lacks, and words that the block has within the wording."""
+@cache
+def _anchors() -> tuple[tuple[str, int], ...]:
+    """Of each template a telling word that few other texts hold, and its place."""
+    return tuple(next((w, j) for j, w in enumerate(template) if w in TELLING and w not in _COMMON) for template in _compressors()[2])
+
+
+def _aligned(template: list[str], block: list[str]) -> tuple[list[str], list[str], range]:
+    """differences, and the places of the block within the wording."""
     matched = [m for m in difflib.SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
     if not matched:
-        return list(template), []
+        return list(template), [], range(0)
     in_template = {i for m in matched for i in range(m.a, m.a + m.size)}
     in_block = {i for m in matched for i in range(m.b, m.b + m.size)}
     inside = range(matched[0].b, matched[-1].b + matched[-1].size)
-    return [w for i, w in enumerate(template) if i not in in_template], [block[i] for i in inside if i not in in_block]
+    return [w for i, w in enumerate(template) if i not in in_template], [block[i] for i in inside if i not in in_block], inside
 
 
-def _windows(block: list[str], size: int) -> list[list[str]]:
-    """The block, or the parts of a long one around words of its cues."""
-    if len(block) <= 3 * size + 40:
-        return [block]
-    at = [i for i, w in enumerate(block) if re.match("licen[cs]e|copyright|permission|redistribut|free|public|rights|reserved|creative", w)]
-    return [block[max(0, i - size) : i + size + 1] for i in at]
+def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
+    """Words of the template that the block lacks, and words that the block has within the wording."""
+    return _aligned(template, block)[:2]
 
 
-def confirmed(block: str) -> tuple[str, float, list[str], list[str]] | None:
-    """License, saving, missing and extra words of the first ranked template that the block's wording allows."""
-    own = words(block)
-    for saved, i in ranked(block)[:LOOKED_AT]:
-        if saved < SAVING and len(own) < 60:
-            break
+def confirmed(own: list[str]) -> list[tuple[int, int, str, float, list[str], list[str]]]:
+    """First and last place, license, saving, missing and extra words of every notice that these words hold."""
+    places: dict[str, list[int]] = {}
+    for at, w in enumerate(own):
+        if w in TELLING:
+            places.setdefault(w, []).append(at)
+    met = []
+    for i, (anchor, j) in enumerate(_anchors()):
         template = _compressors()[2][i]
-        for window in _windows(own, len(template)):
-            missing, extra = differences(template, window)
+        spare = int(SLACK * len(template))
+        for at in places.get(anchor, ()):
+            start = max(0, at - j - spare)
+            window = own[start : max(0, at - j + len(template) + spare)]
+            saved = _saving(_plain(window), i)
+            if saved < SAVING:
+                continue
+            missing, extra, inside = _aligned(template, window)
             telling = any(w in TELLING or any(c.isdigit() for c in w) for w in missing + extra)
             if not telling and len(missing) + len(extra) <= SLACK * len(template):
-                return TEMPLATES[i][0], saved, missing, extra
-    return None
+                met.append((start + inside[0], start + inside[-1], TEMPLATES[i][0], saved, missing, extra))
+    out: list[tuple] = []
+    taken: set[int] = set()
+    for x in sorted(met, key=lambda x: (x[0] - x[1], -x[3])):
+        if taken.isdisjoint(span := range(x[0], x[1] + 1)):
+            taken.update(span)
+            out.append(x)
+    return sorted(out, key=lambda x: x[0])
 
 
 def findings(text: str) -> list[tuple[int, str, float, str, str]]:
-    """(line, license, saving, missing, extra) by line; each line starts one finding at most."""
+    """(line, license, saving, missing, extra) in the order of the text; the line is that of the notice's first word."""
     lines, out, beyond = text.split("\n"), [], -1
     for i, line in enumerate(lines):
         if i <= beyond or not _cue.search(line):
             continue
-        found, last = confirmed(line), i
-        if not found:
-            end = i + 1
-            while end < len(lines) and end - i < JOINED and lines[end].strip():
-                end += 1
-            if end > i + 1 and (found := confirmed("\n".join(lines[i:end]))):
-                last = end - 1
-        if found:
-            license_id, saved, missing, extra = found
-            out.append((i, license_id, float(saved), " ".join(missing), " ".join(extra)))
-            beyond = last
+        end = i + 1
+        while end < len(lines) and end - i < JOINED and lines[end].strip():
+            end += 1
+        own = [(w, n) for n in range(i, end) for w in words(lines[n])]
+        for first, _, license_id, saved, missing, extra in confirmed([w for w, _ in own]):
+            out.append((own[first][1], license_id, float(saved), " ".join(missing), " ".join(extra)))
+        beyond = end - 1
     return out
 
 
@@ -136,9 +160,8 @@ def _scan(texts: pd.Series) -> pd.Series:
 
 
 def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with findings appended: an array of struct(line, license, saved, missing, extra), by line from 0.
-
-    A null or empty text has none, repeated rows are scanned alike and an empty table stays empty. Texts without any cue
+    """docs with findings appended: an array of struct(line, license, saved, missing, extra), in the order of the
+    text, lines from 0, one for every notice. A null or empty text has none, repeated rows are scanned alike and an empty table stays empty. Texts without any cue
     stay in the JVM. An input column named findings is replaced; all others pass through.
     """
     bounded_batches(docs.sparkSession)
