@@ -426,6 +426,20 @@ def test_license_every_notice():
         assert [x[1] for x in findings(text)] == [name for name, _ in chosen], text
 
 
+def test_license_wrapped(spark):
+    """A notice is found however its lines are broken, without a cue in its first line and over more lines than twelve."""
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed"
+    assert [x[:2] for x in findings(mpl)] == [(0, "MPL-2.0")]
+    for name, text in TEMPLATES:
+        for width in (1, 2, 3, 7):
+            w = text.split()
+            wrapped = "\n".join("# " + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+            assert [x[:2] for x in findings(f"some words\nbefore\n{wrapped}\nand after")] == [(2, name)], wrapped
+    (unlicense,) = [text for name, text in TEMPLATES if name == "Unlicense"]
+    got = license_scan(docs_of(spark, [unlicense.replace("public domain", "public\n * domain")])).collect()
+    assert [[x.license for x in r.findings] for r in got] == [["Unlicense"]]
+
+
 def test_license_planted(spark):
     notices = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
     for r in license_scan(spark.read.parquet(f"{SF}/documents.parquet")).collect():

@@ -1,7 +1,7 @@
 """License scanning by conditional compression.
 
-A line that holds a cue and the lines of its paragraph that follow are a candidate block. Every template has a word that
-tells it apart and that no notice of it may lack; around each place of that word in a block, a window as long as the
+A paragraph that holds a cue is a candidate, whole. Every template has a word that tells it apart and that no notice of
+it may lack; around each place of that word in the paragraph, a window as long as the
 template is compressed with the template as a raw zstandard dictionary. Where that saves enough bytes and the wording
 differs in no word that tells licenses apart, the notice is confirmed. Of notices that overlap the longest is reported.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import difflib
 import re
 from functools import cache
+from itertools import groupby
 
 import pandas as pd
 import zstandard
@@ -45,10 +46,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 )
-#: Fixed value: words that make a line worth compressing.
-CUE = r"(?i)licen[cs]e|copyright|permission|redistribut|free software|public domain|rights reserved|creative commons"
-#: Lines of a paragraph joined to a cue, share of a wording that may differ, and the least saving.
-JOINED, SLACK, SAVING = 12, 0.12, 0.2
+#: Fixed value: words that make a paragraph worth compressing; a line may end within a cue.
+CUE = r"(?i)licen[cs]e|copyright|permission|redistribut|free\W+software|public\W+domain|rights\W+reserved|creative\W+commons"
+#: Share of a wording that may differ, and the least saving.
+SLACK, SAVING = 0.12, 0.2
 #: Names and conditions that tell licenses apart, besides all words with digits.
 TELLING = frozenset("mit apache gnu general lesser affero gpl lgpl agpl cc by nc nd sa creative commons attribution noncommercial sharealike noderivatives bsd mozilla mpl isc unlicense public domain reserved waived permission redistribution version not no".split())
 #: Telling words that are too common to look for a template by.
@@ -139,17 +140,14 @@ def confirmed(own: list[str]) -> list[tuple[int, int, str, float, list[str], lis
 
 def findings(text: str) -> list[tuple[int, str, float, str, str]]:
     """(line, license, saving, missing, extra) in the order of the text; the line is that of the notice's first word."""
-    lines, out, beyond = text.split("\n"), [], -1
-    for i, line in enumerate(lines):
-        if i <= beyond or not _cue.search(line):
+    lines, out = text.split("\n"), []
+    for blank, group in groupby(enumerate(lines), lambda x: not x[1].strip()):
+        paragraph = list(group)
+        if blank or not _cue.search("\n".join(line for _, line in paragraph)):
             continue
-        end = i + 1
-        while end < len(lines) and end - i < JOINED and lines[end].strip():
-            end += 1
-        own = [(w, n) for n in range(i, end) for w in words(lines[n])]
+        own = [(w, n) for n, line in paragraph for w in words(line)]
         for first, _, license_id, saved, missing, extra in confirmed([w for w, _ in own]):
             out.append((own[first][1], license_id, float(saved), " ".join(missing), " ".join(extra)))
-        beyond = end - 1
     return out
 
 
