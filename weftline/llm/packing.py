@@ -2,9 +2,8 @@
 
 Documents are cut at the window size; what is left of each is an item. Items of a batch start as partial partitions of
 k windows that hold one item. The two partials of the largest imbalance are merged again and again, the fullest windows
-of one with the emptiest of the other, until one partition of near-equal windows is left. k is the least count that can
-hold all ids and rises while a window exceeds the capacity, as long as the padding stays small; what still exceeds it is
-cut off and moved to windows with room.
+of one with the emptiest of the other, until one partition of near-equal windows is left. k starts as the least count
+that can hold all ids and rises whenever a window exceeds the capacity; only documents longer than a window are cut.
 """
 
 from __future__ import annotations
@@ -25,8 +24,8 @@ from weftline.llm.tokens import WORD_VOCABULARY, encoder
 CAPACITY = 2048
 #: Pieces of text remembered by a task, and MB of text in a batch; packing runs beside whatever else fills an executor.
 REMEMBERED, TEXT_MB = 250_000, 1
-#: Ids packed together, and the share of padding up to which the window count rises.
-BATCH, PADDING = 1 << 20, 0.002
+#: Ids packed together; the count rises by one and by this part of the relative excess.
+BATCH, RAISED = 1 << 18, 0.5
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -67,50 +66,23 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return windows + [[] for _ in range(k - len(windows))]
 
 
-def pack(sizes: list[int], capacity: int = CAPACITY, padding: float = PADDING) -> list[list[tuple[int, int, int]]]:
+def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
     """Windows of pieces (item, start, length); every id of every item lies in exactly one piece.
 
-    Items may be longer than a window, and those of size 0 have no piece.
+    An item longer than a window fills windows of its own up to a rest, and no other item is cut. The window count rises
+    as long as a window exceeds the capacity; the excess tells how far. Items of size 0 have no piece.
     """
     windows = [[(i, at, capacity)] for i, s in enumerate(sizes) for at in range(0, s - capacity + 1, capacity)]
     rest = [(i, s - s % capacity, s % capacity) for i, s in enumerate(sizes) if s % capacity]
-    total = sum(x[2] for x in rest)
-    if not total:
-        return windows
-    least = k = -(-total // capacity)
-    while True:
-        placed = difference([x[2] for x in rest], k)
-        over = any(sum(rest[j][2] for j in w) > capacity for w in placed)
-        if not over or (k + 1) * capacity - total > max(capacity * (least == 0), padding * total):
-            break
-        k += 1
-    filled, spare = [], []
-    for w in placed:
-        pieces = sorted((rest[j] for j in w), key=lambda x: -x[2])
-        excess = sum(x[2] for x in pieces) - capacity
-        at = 0
-        while excess > 0:  # the end of the largest piece goes
-            i, start, length = pieces[at]
-            gone = min(excess, length)
-            spare.append((i, start + length - gone, gone))
-            pieces[at] = (i, start, length - gone)
-            excess -= gone
-            at += 1
-        filled.append([x for x in pieces if x[2]])
-    room = [(capacity - sum(x[2] for x in w), j) for j, w in enumerate(filled)]
-    room = sorted((x for x in room if x[0]), reverse=True)
-    for i, start, length in spare:
-        while length:
-            if not room:
-                room.append((capacity, len(filled)))
-                filled.append([])
-            free, j = room.pop(0)
-            part = min(free, length)
-            filled[j].append((i, start, part))
-            start, length = start + part, length - part
-            if free > part:
-                room.insert(0, (free - part, j))
-    return windows + [w for w in filled if w]
+    lengths = [x[2] for x in rest]
+    k = -(-sum(lengths) // capacity)
+    while k:
+        placed = difference(lengths, k)
+        fullest = max(sum(lengths[j] for j in w) for w in placed)
+        if fullest <= capacity:
+            return windows + [[rest[j] for j in w] for w in placed if w]
+        k += 1 + int(RAISED * k * (fullest - capacity) / capacity)
+    return windows
 
 
 def _packed(vocabulary: str, capacity: int, batch: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
