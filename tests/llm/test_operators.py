@@ -83,6 +83,33 @@ def library_ids(texts):
     return [np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], np.uint32) for t in texts]
 
 
+def test_encoder_tells_strings_apart():
+    """Words that a polynomial hash takes for equal, and strings that share the hash of the table itself."""
+    tokens = importlib.import_module("weftline.llm.tokens")
+    word = morse(1024)
+    texts = [word, word.translate(str.maketrans("ab", "ba")), f"{morse(16)} {morse(32)[16:]} {morse(17)}", "x" * 200_000, " ".join(["é" * n for n in range(1, 20)])]
+    want = [list(x) for x in library_ids(texts)]
+    enc = tokens.TextEncoder(tokens.WORD_VOCABULARY, 1000)
+    for _ in range(2):
+        assert [list(x) for x in enc.documents(texts)] == want
+    # low, high and low2, high2 with mix(low) + high = mix(low2) + high2: one hash for two strings
+    from weftline.llm.shingles import mix
+
+    rng, pairs = np.random.default_rng(4), []
+    while len(pairs) < 3:
+        a, b, h = (rng.integers(1, 256, (4096, 8)).astype(np.uint8).view("<u8").ravel() for _ in range(3))
+        g = mix(a) + h - mix(b)
+        ok = np.flatnonzero((g.view(np.uint8).reshape(-1, 8) != 0).all(axis=1))
+        pairs += [(a[i].tobytes() + h[i].tobytes(), b[i].tobytes() + g[i].tobytes()) for i in ok[:3]]
+    memo, strings = tokens.Memo(), [x for p in pairs for x in p]
+    spelt = tokens.joined(strings)
+    assert len(set(memo._spelt(spelt)[2].tolist())) == len(pairs)
+    memo.add(spelt, np.arange(len(strings), dtype=np.uint32), np.arange(1, len(strings) + 1))
+    assert memo.ids(memo.find(spelt))[0].tolist() == list(range(len(strings)))
+    unknown = tokens.joined([b"q" * 16, b"q" * 17, pairs[0][0][:15]])
+    assert memo.find(unknown).tolist() == [-1, -1, -1]
+
+
 def test_token_files(spark, corpus):
     ids = dict(zip((d for d, _ in corpus), library_ids([t for _, t in corpus]), strict=True))
     at, want = 0, set()
@@ -164,8 +191,11 @@ def check_packing(rows, ids, capacity=2048):
 
 
 def test_packing(spark, corpus):
+    """Little padding even in batches of some fifty documents, and only documents longer than a window are cut."""
     ids = dict(zip((d for d, _ in corpus), library_ids([t for _, t in corpus]), strict=True))
-    assert check_packing(q.op4_packing(spark, SF).collect(), ids) > 0.97
+    rows = q.op4_packing(spark, SF).collect()
+    assert check_packing(rows, ids) > 0.95
+    assert Counter(r.doc_id for r in rows) == {d: -(-len(x) // 2048) for d, x in ids.items()}
 
 
 def test_differencing():
@@ -180,7 +210,7 @@ def test_differencing():
     assert sorted(sum([8, 7, 6, 5, 4][i] for i in w) for w in difference([8, 7, 6, 5, 4], 2)) == [14, 16]
 
 
-def test_pack_cuts_freely():
+def test_pack_keeps_items_whole():
     rng = random.Random(6)
     for _ in range(60):
         sizes = [rng.choice([0, 1, 7, 10, 25, rng.randint(0, 40)]) for _ in range(rng.randint(0, 30))]
@@ -188,7 +218,22 @@ def test_pack_cuts_freely():
         pieces = sorted((i, s, n) for w in windows for i, s, n in w)
         flat = Counter((i, x) for i, s, n in pieces for x in range(s, s + n))
         assert flat == Counter((i, x) for i, n in enumerate(sizes) for x in range(n))
-        assert all(0 < sum(n for *_, n in w) <= 10 for w in windows) and len(windows) <= -(-sum(sizes) // 10) + 1
+        assert all(0 < sum(n for *_, n in w) <= 10 for w in windows)
+        assert Counter(i for i, *_ in pieces) == {i: -(-n // 10) for i, n in enumerate(sizes) if n}
+
+
+def test_window_count_rises(monkeypatch):
+    """As long as a window exceeds the capacity; a text of many windows is cut, and its rest packed like any item."""
+    packing, tried = importlib.import_module("weftline.llm.packing"), []
+    monkeypatch.setattr(packing, "difference", lambda sizes, k: tried.append(k) or difference(sizes, k))
+    assert len(pack([7] * 10, 10)) == 10 and tried[0] == 7 and tried == sorted(set(tried)) and tried[-2] < 10 <= tried[-1]
+    tried.clear()
+    assert len(pack([5] * 10, 10)) == 5 and tried == [5]
+    windows = pack([1_000_003, 4, 3], 10)
+    assert len(windows) == 100_001 and sorted(windows[-1]) == [(0, 1_000_000, 3), (1, 0, 4), (2, 0, 3)]
+    rng = random.Random(3)
+    sizes = [min(2048, int(rng.expovariate(1 / 500)) + 1) for _ in range(500)]
+    assert len(pack(sizes)) <= 1.03 * sum(sizes) / 2048
 
 
 def test_packing_edges(spark):
@@ -317,7 +362,68 @@ def test_near_edges(spark):
     assert near_groups(odd_docs(spark).limit(0)).count() == 0
     kept = keep_one(docs_of(spark, ["a b c d e f", "a b c d e f", None, "", "z z"])).collect()
     assert sorted(r.doc_id for r in kept) == [0, 2, 3, 4] and len(kept[0]) == 5
-    assert sorted(str(r.doc_id) for r in keep_one(odd_docs(spark)).collect()) == ["1", "2", "3", "None"]
+    assert sorted(str(r.doc_id) for r in keep_one(odd_docs(spark)).collect()) == ["1", "2", "3"]  # the row without id is a copy
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], SCHEMA)
+
+
+def test_keep_one_by_row(spark):
+    """Repeated ids, rows that are equal, blank rows and groups without any id."""
+    a, b, c, d = ("a b c d e f", "g h i j k l m", "n o p q r s", "t u v w x y z")
+    kept = lambda rows: sorted((str(r.doc_id), str(r.text)) for r in keep_one(rows_of(spark, rows)).collect())
+    assert kept([(0, a), (1, a), (1, b), (2, c)]) == [("0", a), ("1", b), ("2", c)]
+    assert kept([(7, None), (7, None), (7, ""), (8, b), (8, b), (8, c)]) == [("7", ""), ("7", "None"), ("7", "None"), ("8", b), ("8", c)]
+    assert kept([(None, d), (None, d), (None, a), (3, a)]) == [("3", a), ("None", d)]
+
+
+def morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_near_groups_words_of_one_polynomial(spark):
+    """Long words that any polynomial modulo a power of two takes for equal, and one very long word."""
+    word = morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"x {word} y z u v", f"x {other} y z u v", "w" * 300_000, "w" * 299_999 + "v", "w" * 300_000]
+    assert grouped(docs_of(spark, texts)) == brute_groups(list(enumerate(texts)))
+
+
+def test_near_groups_hot(spark):
+    """A shingle in all of 500 near copies, dealt to many parts, beside copies that are a little too far."""
+    rng = random.Random(13)
+    base = [f"h{i}" for i in range(80)]
+    texts = []
+    for i in range(500):
+        w = list(base)
+        for j in rng.sample(range(10, 80), rng.randint(0, 3)):
+            w[j] = f"m{i}_{j}" if rng.random() < 0.7 else f"m{j}"
+        texts.append(" ".join(w))
+    want = brute_groups(list(enumerate(texts)))
+    got = near_groups(docs_of(spark, texts), split=2).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want and len({c for *_, c in want}) > 1
+
+
+def test_near_groups_again_under_another_seed(spark, monkeypatch):
+    """Different sets under one key are told by the second key."""
+    join = importlib.import_module("weftline.llm.ngram_join")
+    seeds = iter([5, 6])
+    monkeypatch.setattr(join.secrets, "randbits", lambda n: next(seeds))
+    job = join._profiled(docs_of(spark, ["a b c", "d e f"]), 5, 75, 100, 9, "text", "doc_id", None)
+    assert job.terms.seed == 5 and job.classes.count() == 2
+    one = job.classes.limit(1)
+    assert one.select("k").first().k != 0
+    fake = spark.createDataFrame([(1, 1, 2), (2, 3, 3)], "k long, o1 long, o2 long")
+    real, calls = join.materialize, []
+
+    def materialize(df, name):
+        calls.append(name)
+        return fake if name == "classes" and calls.count("classes") == 1 else real(df, name)
+
+    seeds = iter([5, 6])
+    monkeypatch.setattr(join, "materialize", materialize)
+    assert join._profiled(docs_of(spark, ["a b c", "d e f"]), 5, 75, 100, 9, "text", "doc_id", None).terms.seed == 6
 
 
 def test_shingle_kernel():

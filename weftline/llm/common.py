@@ -6,15 +6,18 @@ import contextlib
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions.scratch import materialize, scratch_path  # noqa: F401 - the operators take them from here
 
-#: Rows above which a side is never broadcast; at the row widths used here it stays below some 40 MB.
-BROADCAST_ROWS = 400_000
+#: MB above which a side is never broadcast.
+BROADCAST_MB = 24
 
 #: ASCII white space of the operator contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -62,9 +65,25 @@ def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return run
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows allow it, else with a hint for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+def _width(kind: T.DataType, c: Column) -> Column:
+    """About the bytes that a value takes in a row, nested ones included."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return reduce(add, [_width(f.dataType, c[f.name]) for f in kind.fields], F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        each = F.transform(c, lambda x: _width(kind.elementType, x).cast("long"))
+        return F.coalesce(F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")) + 24
+    return F.lit(8)
+
+
+def small(df: DataFrame, mb: int = BROADCAST_MB) -> DataFrame:
+    """df with a broadcast hint if its rows take so many MB at most, else with a hint for a shuffled join.
+
+    df is a table or a cheap step from one: its bytes are summed in a job of its own.
+    """
+    width = reduce(add, [_width(f.dataType, F.col(f.name)) for f in df.schema.fields], F.lit(16)).cast("long")
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= mb << 20 else df.hint("merge")
 
 
 def bounded_batches(spark: SparkSession, rows: int = 500, mb: int = 4) -> None:

@@ -94,7 +94,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_c
     else:
         found = reduce(DataFrame.union, [aligned(p).join(p.drop("__s"), "__t") for p in parts])
         by_row = found.groupBy("__k1", "__k2").agg(F.collect_list(F.struct(F.col("__d").alias("d"), F.col("__iw").alias("w"), F.col("__items").alias("i"), F.col("__len").alias("n"))).alias("__c"))
-        joined = keyed.join(small(materialize(by_row, "aligned"), 20_000), ["__k1", "__k2"], "left")
+        joined = keyed.join(small(materialize(by_row, "aligned")), ["__k1", "__k2"], "left")
 
     def verified(w: Column, c: Column) -> Column:
         """Starts in the document of the windows that are there word for word."""

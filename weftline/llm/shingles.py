@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _U = np.uint64
-#: Bytes hashed in one go; words are never cut.
+#: Bytes looked at in one go; words are never cut.
 _SPAN = 1 << 18
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes of a word that are hashed in lanes of eight; what a longer word has beyond them goes through a library.
+_LANED = 256
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,57 +24,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
-_tables: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _tables or len(_tables[0]) < n:
-        size, inverse = max(n, _SPAN + 4096), pow(_BASE, -1, 1 << 64)
-        _tables[:] = [np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, b, np.uint64)])) for b in (_BASE, inverse)]
-    return _tables[0][:n], _tables[1][:n]
-
-
-def _hash_span(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start offsets of the words of lower-cased bytes that begin and end at word limits."""
-    apart = _SEPARATOR[part]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], apart, [True]]).view(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64), starts
-    power, inverse = _powers(len(part))
-    sums = np.concatenate([[_U(0)], np.cumsum(_BYTE[part] * power)])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+class Strings:
+    """Byte strings that stand in one array, read in lanes of eight bytes."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.data, self.starts, self.ends, self.sizes = data, starts, ends, ends - starts
+        full = np.zeros(len(data) // 8 * 8 + 24, np.uint8)
+        full[: len(data)] = data
+        self._aligned = full.view("<u8")
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def listed(self, some: np.ndarray) -> list[bytes]:
+        data = self.data.tobytes() if len(some) else b""
+        return [data[a:b] for a, b in zip(self.starts[some].tolist(), self.ends[some].tolist(), strict=True)]
+
+    def lane(self, i: int, some: np.ndarray | None = None) -> np.ndarray:
+        """Bytes 8 * i and following of each string (or of some), as a number; bytes beyond its end are 0."""
+        starts, sizes = (self.starts, self.sizes) if some is None else (self.starts[some], self.sizes[some])
+        at = starts + 8 * i
+        word, off = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        word = np.minimum(word, len(self._aligned) - 2)
+        low, high = self._aligned[word] >> off, self._aligned[word + 1] << ((_U(64) - off) & _U(63))
+        return np.where(off > 0, low | high, low) & _MASK[np.clip(sizes - 8 * i, 0, 8)]
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """64-bit hashes. Of two strings of at most eight bytes and one length no two are alike; longer ones are chained
+        through a bijection that mixes every lane before the next one comes in."""
+        out = mix(mix(self.lane(0) ^ _U(seed)) + self.sizes.astype(np.uint64) * _U(0xD1342543DE82EF95))
+        some, i = np.flatnonzero(self.sizes > 8), 1
+        while len(some) and 8 * i < _LANED:
+            out[some] = mix(out[some] ^ self.lane(i, some))
+            i += 1
+            some = some[self.sizes[some] > 8 * i]
+        for j in some.tolist():
+            rest = self.data[self.starts[j] + _LANED : self.ends[j]].tobytes()
+            out[j : j + 1] = mix(out[j : j + 1] ^ _U(xxhash.xxh3_64_intdigest(rest, seed)))
+        return out
+
+
+def split_words(encoded: list[bytes]) -> tuple[Strings, np.ndarray]:
+    """The words of all texts, A-Z lower-cased, in their order, and the number of words of each text."""
+    data = _LOWER[np.frombuffer(b" ".join([*encoded, b""]), np.uint8)]
+    starts, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at in range(0, len(data), _SPAN):
+        apart = _SEPARATOR[data[at : at + _SPAN]]
+        before = bool(_SEPARATOR[data[at - 1]]) if at else True
+        edges = np.diff(np.concatenate([[before], apart]).view(np.int8))
+        starts.append(np.flatnonzero(edges < 0) + at)
+        ends.append(np.flatnonzero(edges > 0) + at)
+    words = Strings(data, np.concatenate(starts), np.concatenate(ends))  # the last byte is a separator
+    limits = np.cumsum([len(x) + 1 for x in encoded])
+    return words, np.diff(np.searchsorted(words.starts, limits, "left"), prepend=0)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in their order, and the number of words of each text."""
-    words, _, counts = located_words([t.encode("utf-8", "surrogatepass") for t in texts])
-    return words, counts
+    words, counts = split_words([t.encode("utf-8", "surrogatepass") for t in texts])
+    return words.hashes(seed), counts
 
 
-def located_words(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """word_hashes of encoded texts, with the offset of each word in ``b" ".join(encoded)``."""
-    limits = np.cumsum([len(x) + 1 for x in encoded])
-    data = _LOWER[np.frombuffer(b" ".join([*encoded, b""]), np.uint8)]
-    hashes, places, at = [], [], 0
-    while at < len(data):
-        end = min(at + _SPAN, len(data))
-        while end < len(data) and not _SEPARATOR[data[end - 1]]:  # a word goes on
-            beyond = np.flatnonzero(_SEPARATOR[data[end : end + _SPAN]])
-            end = min(end + (int(beyond[0]) + 1 if len(beyond) else _SPAN), len(data))
-        h, s = _hash_span(data[at:end])
-        hashes.append(h)
-        places.append(s + at)
-        at = end
-    words, where = np.concatenate(hashes or [np.empty(0, np.uint64)]), np.concatenate(places or [np.empty(0, np.int64)])
-    return words, where, np.diff(np.searchsorted(where, limits, "left"), prepend=0)
-
-
-def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], width: int = 5, seed: int = 0) -> list[np.ndarray]:
     """For each text its distinct shingles, sorted; a text of fewer words has them all as one, without words none."""
-    words, counts = word_hashes(texts)
+    words, counts = word_hashes(texts, seed)
     factors = mix(np.arange(1, width + 1, dtype=np.uint64)) | _U(1)
     whole = max(0, len(words) - width + 1)
     rolled = np.zeros(whole, np.uint64)
@@ -93,9 +109,9 @@ def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def set_key(s: np.ndarray) -> int:
-    """A signed 64-bit key of a set, whatever its order."""
-    return int((mix(s ^ _U(0xA5A5F00DCAFEBEEF)).sum(dtype=np.uint64) + _U(len(s))).astype(np.int64)) if len(s) else 0
+def set_key(s: np.ndarray, salt: int = 0xA5A5F00DCAFEBEEF) -> int:
+    """A signed 64-bit key of a set, whatever its order; other salts give independent keys."""
+    return int((mix(s ^ _U(salt)).sum(dtype=np.uint64) + _U(len(s))).astype(np.int64)) if len(s) else 0
 
 
 def set_bits(s: np.ndarray) -> bytes:

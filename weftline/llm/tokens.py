@@ -16,7 +16,7 @@ import public_tokenizers  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from weftline.llm.common import take_worker, worker_cache  # noqa: E402
-from weftline.llm.shingles import located_words  # noqa: E402
+from weftline.llm.shingles import Strings, mix, split_words  # noqa: E402
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Id appended to every document.
@@ -26,34 +26,39 @@ _PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Characters whose normal form, lower case or class needs the library; <| may begin a special token.
 _CONTROL = re.compile("[\0-\x08\x0e-\x1f\x7f]|<\\|")
 _ODD = re.compile("[^\t-\r -~¡-¬®-±´-¸º»¿-įı-ɏ‐-‧€]|<\\|")
-#: Pieces remembered by a process at once, and bytes in which most of them end.
-REMEMBERED, _PIECE = 1_000_000, 64
+#: Pieces remembered by a process at once, and bytes up to which a string stands in the table itself.
+REMEMBERED, SHORT = 1_000_000, 16
 
 _held: dict[str, TextEncoder] = {}
 
 
-def _piece(data: bytes, at: int) -> str:
-    """What stands before the next white space."""
-    size = _PIECE
-    while len(parts := data[at : at + size].split(None, 1)) < 2 and at + size < len(data):
-        size *= 8
-    return parts[0].decode()
+def joined(strings: list[bytes]) -> Strings:
+    """Strings that follow each other."""
+    ends = np.cumsum([len(x) for x in strings], dtype=np.int64)
+    return Strings(np.frombuffer(b"".join(strings), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
 
 
 class Memo:
-    """64-bit hashes of strings and the ids of each string, as stretches of one array.
+    """Strings and the ids of each, as stretches of one array; a string is found by all of its bytes.
 
-    The hashes stand in an open-addressing table that is searched for many strings at once.
+    Strings of up to SHORT bytes stand, as two numbers, in an open-addressing table that is searched for many at once.
+    Longer ones, and the rare ones whose hash another string has, are kept in a dictionary. No string holds a zero byte.
     """
 
     def __init__(self, bits: int = 16) -> None:
-        self.keys, self.values, self.mask = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), (1 << bits) - 1
+        self._table(bits)
         self.count = 0
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+        self.low, self.high = np.empty(1 << 14, np.uint64), np.empty(1 << 14, np.uint64)
+        self.odd: dict[bytes, int] = {}
+
+    def _table(self, bits: int) -> None:
+        self.keys, self.values, self.mask = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), (1 << bits) - 1
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The place of each string, -1 for those not met. No hash is 0."""
+    def find(self, strings: Strings) -> np.ndarray:
+        """The place of each string, -1 for those not met."""
+        low, high, hashes = self._spelt(strings)
         out = np.full(len(hashes), -1, np.int64)
         slot, left = (hashes & np.uint64(self.mask)).astype(np.int64), np.arange(len(hashes))
         while len(left):
@@ -62,39 +67,63 @@ class Memo:
             out[left[same]] = self.values[slot[same]]
             on = ~same & (key != 0)
             left, slot = left[on], (slot[on] + 1) & self.mask
+        odd = strings.sizes > SHORT
+        if self.count:
+            odd |= (out >= 0) & ((self.low[out] != low) | (self.high[out] != high))
+        some = np.flatnonzero(odd)
+        out[some] = [self.odd.get(x, -1) for x in strings.listed(some)]
         return out
 
-    def _enter(self, hashes: np.ndarray, values: np.ndarray) -> None:
-        slot, left = (hashes & np.uint64(self.mask)).astype(np.int64), np.arange(len(hashes))
-        while len(left):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = hashes[left[free]]  # of several for one slot the last stays
-            won = self.keys[slot] == hashes[left]
-            self.values[slot[won]] = values[left[won]]
-            left, slot = left[~won], (slot[~won] + 1) & self.mask
+    def _spelt(self, strings: Strings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first SHORT bytes as two numbers, and their hash, which is never 0."""
+        low, high = strings.lane(0), np.zeros(len(strings), np.uint64)
+        some = np.flatnonzero(strings.sizes > 8)
+        high[some] = strings.lane(1, some)
+        return low, high, mix(mix(low) + high) | np.uint64(1)
 
-    def add(self, hashes: np.ndarray, ids: np.ndarray, stops: np.ndarray) -> None:
+    def _enter(self, hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Which of these strings stand in the table; of those with one hash, the first to come."""
+        slot, left, lost = (hashes & np.uint64(self.mask)).astype(np.int64), np.arange(len(hashes)), []
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            mine = free[np.unique(slot[free], return_index=True)[1]]  # one string for each free slot
+            self.keys[slot[mine]], self.values[slot[mine]] = hashes[left[mine]], values[left[mine]]
+            met = self.keys[slot] == hashes[left]
+            met[mine] = True
+            other = met.copy()
+            other[mine] = False
+            lost.append(left[other])
+            left, slot = left[~met], (slot[~met] + 1) & self.mask
+        inside = np.ones(len(hashes), bool)
+        inside[np.concatenate([np.empty(0, np.int64), *lost])] = False
+        return inside
+
+    def add(self, strings: Strings, ids: np.ndarray, stops: np.ndarray) -> None:
         """Distinct strings not met before; stops: where the ids of each end."""
-        n, m = self.count, len(hashes)
+        n, m = self.count, len(strings)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while n + m > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.low, self.high = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length, self.low, self.high))
+        low, high, hashes = self._spelt(strings)
         self.flat[self.used : self.used + len(ids)] = ids
         begins = np.concatenate([[0], stops[:-1]])
         self.start[n : n + m], self.length[n : n + m] = self.used + begins, stops - begins
+        self.low[n : n + m], self.high[n : n + m] = low, high
         self.used += len(ids)
         self.count += m
         if 2 * self.count > self.mask:
-            bits = int(self.mask).bit_length() + 2
             keys, values = self.keys[held := self.keys != 0], self.values[held]
-            self.keys, self.values, self.mask = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), (1 << bits) - 1
+            self._table(int(2 * self.count).bit_length() + 1)
             self._enter(keys, values)
-        self._enter(hashes, np.arange(n, n + m, dtype=np.int32))
+        short = np.flatnonzero(strings.sizes <= SHORT)
+        inside = self._enter(hashes[short], (n + short).astype(np.int32))
+        odd = np.concatenate([np.flatnonzero(strings.sizes > SHORT), short[~inside]])
+        self.odd.update(zip(strings.listed(odd), (n + odd).tolist(), strict=True))
 
     def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the strings at these places in a row, and where those of each end."""
-        length = self.length[at]
+        length = self.length[at].astype(np.int64)
         ends = np.cumsum(length)
         return self.flat[np.repeat(self.start[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)], ends
 
@@ -119,23 +148,25 @@ class TextEncoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        cut = [_PRE_TOKEN.findall(x) for x in pieces]
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Remember distinct pieces: their pre-tokens are looked up, and those not met before are encoded."""
+        cut = [_PRE_TOKEN.findall(x.decode()) for x in pieces]
         words = [w for x in cut for w in x]
-        own = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64) | np.uint64(1)
-        at = self.words.find(own)
+        encoded = [w.encode() for w in words]
+        spelt = joined(encoded)
+        at = self.words.find(spelt)
         if (at < 0).any():
-            new, first = np.unique(own[at < 0], return_index=True)
-            strings = [words[i] for i in np.flatnonzero(at < 0)[first].tolist()]
-            ids = self._whole(" ".join(strings))
+            unknown = np.flatnonzero(at < 0)
+            strings = {encoded[j]: words[j] for j in unknown.tolist()}
+            ids = self._whole(" ".join(strings.values()))
             stops = np.flatnonzero(self.ends[ids]) + 1  # the ids that end a pre-token
             if len(stops) != len(strings):
-                each = [self._whole(w) for w in strings]
+                each = [self._whole(w) for w in strings.values()]
                 ids, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
-            self.words.add(new, ids, stops)
-            at = self.words.find(own)
+            self.words.add(joined(list(strings)), ids, stops)
+            at = self.words.find(spelt)
         ids, ends = self.words.ids(at)
-        self.pieces.add(hashes, ids, ends[np.cumsum([len(x) for x in cut]) - 1])
+        self.pieces.add(joined(pieces), ids, ends[np.cumsum([len(x) for x in cut]) - 1])
 
     def documents(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each whole text (none for null) and the end id, as unsigned 32-bit numbers."""
@@ -151,15 +182,12 @@ class TextEncoder:
             encoded.append(text.lower().encode())
         if max(self.pieces.count, self.words.count) > self.remembered:
             self.forget()
-        hashes, where, counts = located_words(encoded)
-        hashes |= np.uint64(1)
-        at = self.pieces.find(hashes)
+        pieces, counts = split_words(encoded)
+        at = self.pieces.find(pieces)
         if (at < 0).any():
             unknown = np.flatnonzero(at < 0)
-            new, first = np.unique(hashes[unknown], return_index=True)
-            data = b" ".join([*encoded, b""])
-            self._learn(new, [_piece(data, j) for j in where[unknown[first]].tolist()])
-            at[unknown] = self.pieces.find(hashes[unknown])
+            self._learn(list(dict.fromkeys(pieces.listed(unknown))))
+            at[unknown] = self.pieces.find(Strings(pieces.data, pieces.starts[unknown], pieces.ends[unknown]))
         ids, ends = self.pieces.ids(at)
         ends = np.concatenate([[0], ends])[np.cumsum([0, *counts.tolist()])]
         joined = np.insert(ids, ends[1:], np.uint32(END))  # one end id after the ids of each text
