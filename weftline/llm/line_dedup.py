@@ -12,13 +12,28 @@ from pyspark.sql import functions as F
 from weftline.llm.common import SPACES, ascii_lower, materialize, row_key, small, text_of
 
 
-def _hashes(lines: Column, min_chars: int) -> Column:
-    """One struct of two hashes a line, null where the key is shorter than min_chars.
+def _keys(lines: Column, min_chars: int) -> Column:
+    """struct(a, b, at, first) of each line whose key counts: 128 bits of the key, the line's place, and whether it is the
+    key's first line.
 
-    The transforms are nested so that each line is trimmed and lower-cased once.
+    Lines are put in the order of their keys for that; the transforms are nested so that nothing is computed twice.
     """
     keys = F.transform(F.transform(lines, lambda x: F.btrim(x, F.lit(SPACES))), ascii_lower)
-    return F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(17), k).alias("b"))))
+
+    def hashed(k: Column, i: Column) -> Column:
+        own = F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(17), k).alias("b"), i.alias("at"))
+        return F.when(F.length(k) >= min_chars, own)
+
+    def marked(ordered: Column) -> Column:
+        def one(h: Column, j: Column) -> Column:
+            last = F.get(ordered, j - 1)
+            first = (j == 0) | (last["a"] != h["a"]) | (last["b"] != h["b"])
+            return F.struct(h["a"].alias("a"), h["b"].alias("b"), h["at"].alias("at"), first.alias("first"))
+
+        return F.transform(ordered, one)
+
+    ordered = F.sort_array(F.filter(F.transform(keys, hashed), lambda h: h.isNotNull()))
+    return F.transform(F.array(ordered), marked)[0]
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -32,23 +47,26 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col
     held = docs.drop("n_lines", "n_dropped")
     lines = F.split(text_of(text_col), "\n", -1)
     keyed = held.select("*", *row_key(F.col(id_col), text_of(text_col)))
-    exploded = keyed.select("__k1", "__k2", F.explode(F.array_distinct(F.filter(_hashes(lines, min_chars), lambda h: h.isNotNull()))).alias("__h"))
-
-    hashed = materialize(exploded, "line-hashes")  # two steps read it, so texts are taken apart once
-
-    counted = hashed.groupBy(F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
-    frequent = materialize(counted.where(F.col("__n") >= min_docs).select("__a", "__b"), "frequent-lines")
-
-    found = hashed.select("__k1", "__k2", F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b")).join(small(frequent), ["__a", "__b"])
-    per_row = found.groupBy("__k1", "__k2").agg(F.collect_set(F.struct(F.col("__a").alias("a"), F.col("__b").alias("b"))).alias("__drop"))
-
-    joined = keyed.join(per_row.hint("merge"), ["__k1", "__k2"], "left").withColumn("__lines", lines)
-    paired = F.arrays_zip(F.col("__lines").alias("line"), _hashes(F.col("__lines"), min_chars).alias("hash"))
-    kept = F.filter(paired, lambda p: p["hash"].isNull() | ~F.array_contains(F.col("__drop"), p["hash"]))
-    out = joined.withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.transform(kept, lambda p: p["line"])))
-    n_lines = F.size("__lines").cast("long")
-    return out.select(
-        *[F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(c) for c in held.columns],
-        n_lines.alias("n_lines"),
-        (n_lines - F.size("__kept")).alias("n_dropped"),
-    )
+    hashed = keyed.select("__k1", "__k2", F.explode(_keys(lines, min_chars)).alias("__h")).select("__k1", "__k2", "__h.*")
+    hashed = materialize(hashed, "line-hashes")  # two steps read it, so texts are taken apart once
+
+    counted = hashed.where("first").groupBy("a", "b").agg(F.count(F.lit(1)).alias("__n"))
+    frequent = materialize(counted.where(F.col("__n") >= min_docs).select("a", "b"), "frequent-lines")
+
+    found = hashed.drop("first").join(small(frequent), ["a", "b"])
+    per_row = found.groupBy("__k1", "__k2").agg(F.collect_list("at").alias("__drop"))
+
+    def rest(ls: Column) -> Column:
+        """The lines whose places aren't dropped; places are found by hash."""
+        kept = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__drop"))
+        text = F.array_join(F.transform(kept, lambda i: F.get(ls, i)), "\n")
+        return F.struct(
+            F.size(ls).cast("long").alias("n"),
+            F.when(F.col("__drop").isNull(), 0).otherwise(F.size(ls) - F.size(kept)).cast("long").alias("gone"),
+            F.when(F.col("__drop").isNull(), text_of(text_col)).otherwise(text).alias("text"),
+        )
+
+    joined = keyed.join(per_row.hint("merge"), ["__k1", "__k2"], "left")
+    out = joined.select(*held.columns, F.transform(F.array(lines), rest)[0].alias("__rest"))
+    kept = [F.col("__rest.text").alias(c) if c == text_col else F.col(c) for c in held.columns]
+    return out.select(*kept, F.col("__rest.n").alias("n_lines"), F.col("__rest.gone").alias("n_dropped"))
