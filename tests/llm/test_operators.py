@@ -130,6 +130,12 @@ def test_token_files_edges(spark):
 # --- 2: lines -------------------------------------------------------------------------------------------------------------
 
 
+def test_line_dedup_long(spark):
+    """A hundred thousand frequent lines in a text take no time to speak of."""
+    texts = ["\n".join([f"line {j}" for j in range(100_000)] + [f"own {i}", "line 5 "]) for i in range(10)]
+    assert [(r.text, r.n_lines, r.n_dropped) for r in line_dedup(docs_of(spark, texts)).orderBy("doc_id").collect()] == [(f"own {i}", 100_002, 100_001) for i in range(10)]
+
+
 def test_line_dedup_edges(spark):
     texts = [f"Keep {i}\n  COMMON line\t\n\nÉ x" for i in range(3)] + ["common LINE", None, "", "é x"]
     out = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup(docs_of(spark, texts), min_docs=4).collect()}
@@ -456,14 +462,35 @@ def test_windows_small(spark):
     out = {r.doc_id: (r.n_words, list(r.hits), list(r["items"])) for r in find_windows(docs_of(spark, texts), items).collect()}
     assert out[0] == (13, list(range(1, 12)), ["1", "12"]) and out[1] == (9, [], []) and out[2] == (5, [1, 2, 3], ["2"])
     assert out[3] == (0, [], []) and out[4] == (0, [], []) and out[5] == (4, [0, 1, 2, 3], [""]) and out[6] == (3, [], [])
-    blocks = {r.doc_id: (r.n_words, list(r.hits), list(r["items"])) for r in find_windows(docs_of(spark, texts), items, block=2).collect()}
-    assert blocks == out
     assert sorted(r.doc_id for r in decontaminate(docs_of(spark, texts), items).collect()) == [1, 3, 4, 6]
     none = find_windows(odd_docs(spark), items.limit(0))
     assert none.columns == ["doc_id", "text", "spans", "n_lines", "__x", "n_words", "hits", "items"] and sorted(r.n_words for r in none.collect()) == [0, 0, 6, 6, 6]
     assert find_windows(odd_docs(spark).limit(0), items).count() == 0
 
 
+def test_windows_long(spark, monkeypatch):
+    """Repeated words, one very long text, and items taken in parts give what a plain look at every window gives."""
+    monkeypatch.setattr(importlib.import_module("weftline.llm.decontaminate"), "PART", 7)
+    rng = random.Random(21)
+    words = lambda n, k: [f"v{rng.randint(0, k)}" for _ in range(n)]
+    items = [words(60, 3), words(40, 500), ["a"] * 30, words(5, 2)]
+    texts = [["a"] * 20_000, words(3000, 3), words(50, 500) + items[1][5:30] + words(9, 500), items[0] + items[0], items[3] * 4, ["a"] * 9]
+    windows = defaultdict(set)
+    for n, w in enumerate(items):
+        size = min(10, len(w))
+        for i in range(len(w) - size + 1):
+            windows[tuple(w[i : i + size])].add(str(n))
+    got = find_windows(docs_of(spark, [" ".join(t) for t in texts]), spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id long, text string"))
+    for r in got.collect():
+        t, hits, ids = texts[r.doc_id], set(), set()
+        for size in (5, 10):
+            for i in range(len(t) - size + 1):
+                if named := windows.get(tuple(t[i : i + size])):
+                    hits |= set(range(i, i + size))
+                    ids |= named
+        assert (r.n_words, list(r.hits), list(r["items"])) == (len(t), sorted(hits), sorted(ids))
+
+
 # --- 8: exact copies -----------------------------------------------------------------------------------------------------------------------
 
 
