@@ -43,6 +43,8 @@ LONGEST, ROW, MEET, VERIFY = 6, 1.0, 1.0, 8.0
 SPLIT, STREAM, TOGETHER = 50_000, 500, 1000
 #: Most turns in which shingles choose further members before all pairs left over are looked at.
 TURNS = 3
+#: Shingles of a class that are looked through for an earlier meeting.
+EARLIER = 24
 #: Prefix rows of one bucket; bytes of sets in a batch on their way to verification.
 BUCKET, SENT = 1_000_000, 4 << 20
 
@@ -363,10 +365,11 @@ def _ranked(postings: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _folded(postings: DataFrame) -> DataFrame:
-    """One shingle for each list of classes, with the number w of shingles that have it.
+    """One shingle for each list of classes.
 
     The first of them in prefix order stands for all: it is the least bounded by its place, and the order is one for all
-    classes, so the least place tells it. Shingles left with one posting, or with none in an index prefix, go.
+    classes, so the least place tells it. Shingles left with one posting, or with none in an index prefix, go. e has the
+    shingles of the class before a posting, if they are among its first.
     """
     lists = postings.groupBy("x").agg(
         F.bit_xor(F.xxhash64("y")).alias("s1"),
@@ -376,14 +379,17 @@ def _folded(postings: DataFrame) -> DataFrame:
         F.min("p").alias("p"),
     )
     same = lists.where("d > 1 AND any > 0").groupBy("s1", "s2", "d")
-    first = same.agg(F.min(F.struct("p", "x")).alias("top"), F.count(F.lit(1)).alias("w")).select(F.col("top.x").alias("x"), "w")
-    return postings.join(first.hint("merge"), "x")
+    first = same.agg(F.min(F.struct("p", "x")).alias("top")).select(F.col("top.x").alias("x"))
+    kept = postings.join(first.hint("merge"), "x")
+    placed = kept.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("p")))
+    first = F.sort_array(F.collect_list(F.when(F.col("r") <= EARLIER, F.struct("p", "x"))).over(Window.partitionBy("y")))
+    return placed.withColumn("e", F.transform(F.filter(first, lambda z: z["p"] < F.col("p")), lambda z: z["x"])).drop("r")
 
 
 def _named(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings of shingles that more than one component holds, with components and each shingle's main one."""
     named = postings.join(labels.hint("merge"), F.col("y") == F.col("k"), "left")
-    named = named.select(F.col("x").alias("t"), "y", "n", "p", "a", "l", "i", "w", *_WORDS, F.coalesce("c", "y").alias("c"))
+    named = named.select(F.col("x").alias("t"), "y", "n", "p", "a", "l", "i", "e", *_WORDS, F.coalesce("c", "y").alias("c"))
     by = named.groupBy("t", "c").agg(F.count(F.lit(1)).alias("d"))
     mixed = by.groupBy("t").agg(F.max(F.struct("d", "c")).alias("top"), F.count(F.lit(1)).alias("cs")).where("cs > 1")
     return materialize(named.join(mixed.select("t", F.col("top.c").alias("main")).hint("merge"), "t"), "mixed-postings")
@@ -392,8 +398,8 @@ def _named(postings: DataFrame, labels: DataFrame) -> DataFrame:
 def _sides(live: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, Column]:
     """Postings outside their shingle's main component, all postings, and whether two may be a pair by sizes, roles,
     places and bitmaps."""
-    own = ("y", "n", "p", "a", "l", "i", "c", *_WORDS)
-    left = live.where("c <> main").select("t", "w", *[F.col(x).alias(f"{x}1") for x in own])
+    own = ("y", "n", "p", "a", "l", "i", "c", "e", *_WORDS)
+    left = live.where("c <> main").select("t", *[F.col(x).alias(f"{x}1") for x in own])
     right = live.select("t", "main", *[F.col(x).alias(f"{x}2") for x in own])
     first = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("y1") < F.col("y2")))
     shared = F.least("l1", "l2")
@@ -416,23 +422,29 @@ def _sides(live: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, C
 def _more_stars(live: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """Pairs (x, y) of a chosen member of each shingle's main component with the shingle's classes outside it.
 
-    Every shingle chooses for itself, and anew in each turn, so a class outside meets as many members as it has shingles.
+    First that with the fewest shingles before it, which has the fewest that are its own, and is the nearest to most;
+    then every shingle chooses at random, anew in each turn. So a class outside meets as many members as it has shingles.
     """
     left, right, fits = _sides(live, num, den)
     member = F.struct("y2", "n2", "p2", "a2", "l2", "i2", *[f"{w}2" for w in _WORDS])
-    chosen = F.max_by(member, F.xxhash64("y2", "t", F.lit(turn))).alias("h")
+    by = F.xxhash64("y2", "t", F.lit(turn))
+    chosen = F.max_by(member, F.struct(-F.col("p2"), by) if turn == 0 else by).alias("h")
     hubs = right.where("c2 = main").groupBy("t").agg(chosen).select("t", "h.*")
     met = left.join(hubs.hint("merge"), "t").where(fits)
     return met.select(F.col("y2").alias("x"), F.col("y1").alias("y")).distinct()
 
 
 def _residual(live: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidates (x, y) in different components that share enough prefix shingles."""
+    """Candidates (x, y) in different components.
+
+    A pair that meets at several shingles is made at the first, if that is among the first of both: it fits there, or it
+    is no pair.
+    """
     left, right, fits = _sides(live, num, den)
     once = (F.col("c2") == F.col("main")) | (F.col("y1") < F.col("y2"))
-    met = left.join(right.hint("merge"), "t").where((F.col("c1") != F.col("c2")) & once & fits)
-    pair = met.groupBy(F.least("y1", "y2").alias("x"), F.greatest("y1", "y2").alias("y"))
-    return pair.agg(F.sum("w").alias("d"), F.min(F.least("l1", "l2")).alias("l")).where("d >= l").select("x", "y")
+    apart = (F.col("c1") != F.col("c2")) & once & fits & ~F.arrays_overlap("e1", "e2")
+    met = left.join(right.hint("merge"), "t").where(apart)
+    return met.select(F.least("y1", "y2").alias("x"), F.greatest("y1", "y2").alias("y")).distinct()
 
 
 def _profiled(docs: DataFrame, width: int, num: int, den: int, split: int, text_col: str, id_col: str, seed: int | None) -> Job:
