@@ -1,11 +1,16 @@
-"""Operators for preparing training data; nothing else in weftline imports this package."""
+"""Operators for preparing training data; nothing else in weftline imports this package.
 
-from weftline.llm.queries import ORACLES, QUERIES
+Its modules are imported when they are asked for: a Python worker then holds only what its operator needs.
+"""
 
 
 def queries() -> dict:
+    from weftline.llm.queries import QUERIES
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from weftline.llm.queries import ORACLES
+
     return dict(ORACLES)
