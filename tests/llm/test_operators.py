@@ -20,7 +20,7 @@ from weftline.llm.exact_dedup import combine, exact_dedup, fingerprint
 from weftline.llm.language_id import UNDETERMINED, NgramVectors, fit, identify, is_held_out
 from weftline.llm.license_scan import differences, findings, license_scan, ranked, TEMPLATES
 from weftline.llm.line_dedup import line_dedup
-from weftline.llm.lm_score import Network, lm_score, numbered, train
+from weftline.llm.lm_score import Network, lm_score, train, word_keys
 from weftline.llm.ngram_join import choose_prefix, keep_one, near_groups
 from weftline.llm.packing import difference, pack, pack_documents
 from weftline.llm.secret_scan import CLASSES, secret_scan, spelled
@@ -28,7 +28,7 @@ from weftline.llm.shingles import most_common, set_bits, shingle_sets, word_hash
 from weftline.llm.token_files import decode_ranks, encode_ranks, read_tokens, token_folder, write_tokens
 from weftline.llm.tokens import WORD_VOCABULARY, encoder
 
-q = importlib.import_module("weftline.llm.queries")
+q = importlib.import_module("weftline.llm.registered")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = "doc_id long, text string, spans string, n_lines string, hits string, __x int"
 
@@ -584,20 +584,35 @@ def test_license_planted(spark):
 # --- 10: language model -----------------------------------------------------------------------------------------------------------------------
 
 
-def test_scores_by_brute_force(spark):
-    docs = docs_of(spark, ["a b a c", "b", None, "", "zz a zz"])
-    model = train(docs)
+def test_scores_by_brute_force(spark, monkeypatch):
+    """From the counts of all words, with few words known to tasks and few members that are single words."""
+    lm = importlib.import_module("weftline.llm.lm_score")
+    monkeypatch.setattr(lm, "KNOWN", 4)
+    texts = ["a b a c", "b", None, "", "zz a zz qz rare", "wz wz yz a", " ".join(["a", "b", "c", "zz"] * 5)]
+    model = train(docs_of(spark, texts))
     net = Network.of(model.flat)
-    for r in lm_score(docs, model).collect():
-        text = [x.text for x in docs.collect()][r.doc_id] or ""
-        ids, places, counts = numbered([text], model.vocabulary, model.order)
-        total = 0.0
-        for at in places:
-            h = np.append(sum(net.embed[ids[at + d]].astype(float) * net.place[j] for j, d in enumerate((-2, -1, 1, 2))), 1.0)
-            c, m = divmod(int(ids[at]), 32)
+    assert 0 < len(model.lexicon.keys) <= 4 and model.counts.count() > 0
+    scored = texts + ["never seen a", "a b a c", "x" * 200_000]
+    counts = Counter(w for t in texts for w in (t or "").split())
+    family = lambda w: int(word_keys([w])[0][0]) & 255
+    known = {int(k): (int(m), int(n)) for k, m, n in zip(model.lexicon.keys, model.lexicon.members, model.lexicon.counts, strict=True)}
+    single = {w for w in counts if known.get(int(word_keys([w])[0][0]), (9999,))[0] < lm.VOCABULARY - lm.FAMILIES}
+    totals = Counter()
+    for w, n in counts.items():
+        if w not in single:
+            totals[family(w)] += n
+    for r in lm_score(docs_of(spark, scored), model).collect():
+        words = (scored[r.doc_id] or "").split()
+        member = [known[int(word_keys([w])[0][0])][0] if w in single else lm.VOCABULARY - lm.FAMILIES + family(w) for w in words]
+        ids, total = np.array([0, 0, *member, 0, 0]), 0.0
+        for i, w in enumerate(words):
+            h = np.append(sum(net.embed[ids[i + 2 + d]].astype(float) * net.place[j] for j, d in enumerate((-2, -1, 1, 2))), 1.0)
+            c, m = divmod(int(ids[i + 2]), 32)
             for logits, k in ((h @ net.cluster, c), (h @ net.member[c], m)):
                 total += logits[k] - np.log(np.exp(logits).sum())
-        assert r.n_words == counts[0] and abs(r.log_likelihood - total) < 1e-3 and (r.mean_log_likelihood is None) == (counts[0] == 0)
+            if w not in single:
+                total += np.log(counts.get(w, 1)) - np.log(totals[family(w)] + 1) * (1 if w in counts else 2)
+        assert r.n_words == len(words) and abs(r.log_likelihood - total) < 1e-3 and (r.mean_log_likelihood is None) == (not words)
 
 
 def test_model_prefers_real_text(spark):
@@ -606,20 +621,40 @@ def test_model_prefers_real_text(spark):
     rng = random.Random(11)
     texts = [r.text for r in docs.limit(40).collect()]
     mixed = [" ".join(rng.sample(t.split(), len(t.split()))) for t in texts]
+    gibberish = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in w) for w in t.split()) for t in texts]
     score = lambda ts: [r.mean_log_likelihood for r in sorted(lm_score(docs_of(spark, ts), model).collect(), key=lambda r: r.doc_id)]
-    assert sum(a > b for a, b in zip(score(texts), score(mixed), strict=True)) >= 28
-    assert train(docs).flat.tobytes() == model.flat.tobytes()
+    real = score(texts)
+    assert sum(a > b for a, b in zip(real, score(mixed), strict=True)) >= 28
+    assert all(a > b for a, b in zip(real, score(gibberish), strict=True))
+    again = train(docs.repartition(7))
+    assert again.flat.tobytes() == model.flat.tobytes() and np.array_equal(again.lexicon.keys, model.lexicon.keys)
+
+
+def test_equal_texts_score_alike(spark):
+    """Bit for bit, in other batches and beside other texts; a document that the corpus has twice scores above chance."""
+    rng = random.Random(17)
+    texts = [" ".join(f"w{int(rng.expovariate(1 / 40))}" for _ in range(rng.randint(1, 80))) for _ in range(300)]
+    docs = docs_of(spark, texts + texts[:50])
+    model = train(docs)
+    rows = {r.doc_id: r.log_likelihood for r in lm_score(docs, model).collect()}
+    other = {r.doc_id: r.log_likelihood for r in lm_score(docs.repartition(9), model).collect()}
+    assert rows == other and all(rows[i] == rows[300 + i] for i in range(50))
 
 
 def test_every_position_is_trained(monkeypatch):
     lm = importlib.import_module("weftline.llm.lm_score")
-    met = []
-    monkeypatch.setattr(Network, "learn", lambda self, ids, at, squares: met.extend(at.tolist()))
-    texts = ["a b c", "d", "", "e f g h i j k l m n"]
-    for turn in range(lm.ROUNDS):
-        state = type("State", (), {"value": (np.empty(0, np.uint64), np.empty(0, np.int64), Network.start().flat(), turn)})
-        list(lm._trained(state)(iter([pd.DataFrame({"text": texts})])))
-    assert sorted(met) == numbered(texts, np.empty(0, np.uint64), np.empty(0, np.int64))[1].tolist()
+    met = Counter()
+    monkeypatch.setattr(Network, "learn", lambda self, ids, at, squares: met.update(ids[at].tolist()))
+    blocks = [np.arange(a, b, dtype="<u2").tobytes() for a, b in ((2, 5), (5, 6), (6, 6), (6, 300), (300, 1000))]
+    for step in (4, 4096):
+        monkeypatch.setattr(lm, "STEP", step)
+        met.clear()
+        for turn in range(lm.ROUNDS):
+            state = type("State", (), {"value": (Network.start().flat(), turn)})
+            for cut in (1, 5):
+                (out,) = lm._trained(state)(iter([pd.DataFrame({"bucket": [0, 0, 0, 1, 1][i : i + cut], "ids": blocks[i : i + cut]}) for i in range(0, 5, cut)]))
+                assert len(out) == len(Network.start().flat()) + 1
+        assert met == dict.fromkeys(range(2, 1000), 2)
 
 
 def test_lm_edges(spark):

@@ -5,12 +5,12 @@ Its modules are imported when they are asked for: a Python worker then holds onl
 
 
 def queries() -> dict:
-    from weftline.llm.queries import QUERIES
+    from weftline.llm.registered import QUERIES
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from weftline.llm.queries import ORACLES
+    from weftline.llm.registered import ORACLES
 
     return dict(ORACLES)
