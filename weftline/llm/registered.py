@@ -10,7 +10,7 @@ from weftline.llm.exact_dedup import exact_dedup
 from weftline.llm.language_id import fit, identify, is_held_out
 from weftline.llm.license_scan import license_scan
 from weftline.llm.line_dedup import line_dedup
-from weftline.llm.lm_score import lm_score, train
+from weftline.llm.lm_score import score_corpus
 from weftline.llm.ngram_join import near_groups
 from weftline.llm.packing import pack_documents
 from weftline.llm.secret_scan import ALLOW, CLASSES, secret_scan, spelled
@@ -187,5 +187,4 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_lm_score")
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return lm_score(docs, train(docs))
+    return score_corpus(documents(spark, sf_dir))
