@@ -115,7 +115,6 @@ def _packed(vocabulary: str, capacity: int, batch: int) -> Callable[[Iterator[pd
                     names, held, total = [], [], 0
         if held:
             yield packed()
-        tok.forget()
 
     return tidy(run)
 
