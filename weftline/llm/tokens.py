@@ -27,7 +27,7 @@ _PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _CONTROL = re.compile("[\0-\x08\x0e-\x1f\x7f]|<\\|")
 _ODD = re.compile("[^\t-\r -~¡-¬®-±´-¸º»¿-įı-ɏ‐-‧€]|<\\|")
 #: Pieces remembered by a process at once, and bytes up to which a string stands in the table itself.
-REMEMBERED, SHORT = 1_000_000, 16
+REMEMBERED, SHORT = 500_000, 16
 
 _held: dict[str, TextEncoder] = {}
 
