@@ -287,6 +287,20 @@ def test_secret_scan(spark):
         assert (r.b, r.s) == (show(base), show(every)), texts[r.doc_id]
 
 
+def test_secret_scan_long(spark):
+    """Twenty thousand secrets in a text, by brute force; the time is in proportion to the text."""
+    rng = random.Random(31)
+    pool = ["0123456789abcdef", "0123456789abcdefGHIJKLMNOPRSTUVX"]
+    text = " ".join("".join(rng.choice(pool[i % 2]) for _ in range(26)) for i in range(20_000)) + " AKIA" + "Z9" * 9
+    (r,) = secret_scan(docs_of(spark, [text])).collect()
+    base = [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]{16,}", text)] + [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
+    assert [tuple(s) for s in r.base_spans] == sorted(base)
+    spans = [tuple(s) for s in r.spans]
+    assert spans == sorted(spans) and len(spans) > 15_000 and set(base) <= set(spans)
+    more = sorted(s for s in spans if s[1] > 2)
+    assert more and all(a[3] <= b[0] for a, b in zip(spans, spans[1:]) if a[1] > 2 or b[1] > 2)
+
+
 def test_secret_edges(spark):
     out = secret_scan(odd_docs(spark))
     assert out.columns == ["doc_id", "text", "n_lines", "hits", "__x", "base_spans", "spans"] and all(not r.spans for r in out.collect())

@@ -9,6 +9,7 @@ make a span, unless the string is on the allow list or a base span already cover
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -56,20 +57,38 @@ CLASSES = (EntropyClass("entropy_hex", DIGITS + "ABCDEF" + "abcdef", 16, 3.0), E
 _SPAN = "struct<start:int,end:int,value:string,part:string>"
 
 
+def _running(values: Column, join: Callable[[Column, Column], Column], none: int) -> Column:
+    """What each element and all before it give together: each pass doubles how far an element has looked."""
+    n = F.size(values)
+    levels = F.when(n > 1, F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def further(acc: Column, k: Column) -> Column:
+        before = F.slice(F.concat(F.array_repeat(F.lit(none), F.pow(F.lit(2.0), k).cast("int")), acc), 1, F.size(acc))
+        return F.zip_with(acc, before, lambda x, y: F.coalesce(join(x, y), F.lit(none)))
+
+    return F.aggregate(levels, values, further)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed a single time."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _matches(text: Column, pattern: str, part: int = 0) -> Column:
     """Leftmost matches that do not overlap, with code point offsets: what lies between them gives the distances."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(part))
     gaps = F.split(text, pattern, -1)
-    zipped = F.zip_with(F.zip_with(whole, F.regexp_extract_all(text, F.lit(pattern), F.lit(part)), lambda m, p: F.struct(m.alias("m"), p.alias("p"))), F.slice(gaps, 1, F.size(whole)), lambda x, g: F.struct(x["m"].alias("m"), x["p"].alias("p"), F.length(g).alias("g")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"), x["p"].alias("part")))).alias("spans"))
+    def met(ms: Column) -> Column:
+        pairs = F.zip_with(ms, parts, lambda m, p: F.struct(m.alias("m"), p.alias("p")))
+        return F.zip_with(pairs, F.slice(gaps, 1, F.size(ms)), lambda x, g: F.struct(x["m"].alias("m"), x["p"].alias("p"), F.length(x["m"]).alias("n"), F.length(g).alias("g")))
 
-    none = F.array().cast(f"array<{_SPAN}>")
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    def placed(xs: Column) -> Column:
+        ends = _running(F.transform(xs, lambda x: x["g"] + x["n"]), lambda x, y: x + y, 0)
+        return F.zip_with(xs, ends, lambda x, e: F.struct((e - x["n"]).alias("start"), e.alias("end"), x["m"].alias("value"), x["p"].alias("part")))
+
+    return F.when(text.rlike(pattern), _once(_once(whole, met), placed)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _windows(slots: Column, cls: EntropyClass) -> Column:
@@ -107,7 +126,27 @@ def _entropy_spans(text: Column, cls: EntropyClass) -> Column:
 
 
 def _clear_of(spans: Column, others: Column) -> Column:
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+    """The spans that overlap none of the others: all are walked in order, with the furthest end of others so far and
+    the next start of others to come."""
+    never = 1 << 30
+
+    def walked(xs: Column) -> Column:
+        ends = F.transform(xs, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(-1))
+        starts = F.transform(F.reverse(xs), lambda x: F.when(x["own"] == 0, x["start"]).otherwise(never))
+        furthest = _running(ends, lambda x, y: F.greatest(x, y), -1)
+        following = F.reverse(_running(starts, lambda x, y: F.least(x, y), never))
+        told = F.zip_with(F.zip_with(xs, furthest, lambda x, f: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["own"].alias("own"), f.alias("f"))), following, lambda x, n: F.struct(x.alias("x"), n.alias("n")))
+        clear = F.filter(told, lambda t: (t["x"]["own"] == 1) & (t["x"]["f"] <= t["x"]["start"]) & (t["n"] >= t["x"]["end"]))
+        return F.transform(clear, lambda t: F.struct(t["x"]["start"].alias("start"), t["x"]["end"].alias("end")))
+
+    def of(own: int) -> Callable[[Column], Column]:
+        return lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"))
+
+    def apart(ss: Column) -> Column:
+        both = F.sort_array(F.concat(F.transform(others, of(0)), F.transform(ss, of(1))))
+        return F.when((F.size(ss) > 0) & (F.size(others) > 0), _once(both, walked)).otherwise(ss)
+
+    return _once(spans, apart)
 
 
 def secret_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -124,11 +163,11 @@ def secret_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
     base = [F.filter(_matches(text, ASSIGN, 2), lambda m: F.length(m["part"]) >= ASSIGN_LEAST), _matches(text, ACCESS), _matches(text, HEX)]
-    step = held.withColumn("base_spans", F.array_sort(F.concat(*[named(s, i, k) for i, (s, k) in enumerate(zip(base, BASE_KINDS, strict=True))])))
+    step = held.withColumn("base_spans", F.sort_array(F.concat(*[named(s, i, k) for i, (s, k) in enumerate(zip(base, BASE_KINDS, strict=True))])))
     taken = step.withColumn("spans", F.col("base_spans"))
     for i, cls in enumerate(CLASSES):
         taken = taken.withColumn("spans", F.concat("spans", named(_clear_of(_entropy_spans(text, cls), F.col("spans")), len(BASE_KINDS) + i, cls.kind)))
-    return taken.withColumn("spans", F.array_sort("spans"))
+    return taken.withColumn("spans", F.sort_array("spans"))
 
 
 def spelled(spans: Column) -> Column:
