@@ -13,6 +13,7 @@ from weftline.functions.values import ORD, geometry_field
 from weftline.geo import functions as g
 from weftline.geo import wkb
 from weftline.plans.registry import BindError, BlockContext, block, block_type
+from weftline import run_queries  # noqa: F401 - registers its queries
 from weftline.queries import apply, shapes
 from weftline.sinks.modes import WriteMode, write_mode
 from weftline.sources.checkpoints import read_token, write_token
