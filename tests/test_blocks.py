@@ -1,5 +1,6 @@
 import http.server
 import json
+import os
 import sqlite3
 import struct
 import threading
@@ -164,10 +165,35 @@ def test_jdbc_texts():
     assert jdbc_options("Host=h;Port=1;Database=d;Username=u;Password=p") == {"url": "jdbc:postgresql://h:1/d", "driver": "org.postgresql.Driver", "user": "u", "password": "p"}
     assert resume_query("SELECT 1;", "id", None) == 'SELECT * FROM (SELECT 1) AS weftline_source ORDER BY "id"'
     assert 'WHERE "id" > 5 ' in resume_query("q", "id", 5) and "> 'a''b'" in resume_query("q", "id", "a'b")
+    assert 'WHERE "id" > 5 AND "id" <= 9 ' in resume_query("q", "id", 5, 9)
     with pytest.raises(ValueError):
         resume_query("q", "id; drop", 1)
 
 
+def test_database_resume_leaves_later_rows(spark, tmp_path):
+    """Rows that arrive between reading and the commit are read by the next run."""
+    url, token = f"jdbc:derby:memory:late{os.getpid()}", str(tmp_path / "token")
+    insert = lambda ids, **o: spark.createDataFrame([(i,) for i in ids], "ID long").write.format("jdbc").options(url=f"{url};create=true", dbtable="T", **o).mode("append").save()
+    insert([1, 2, 3])
+    t = block_type("SourcePostGresQL")
+
+    def read():
+        ctx = BlockContext(spark, "s", {})
+        df = t.build(ctx, **t.bind({"connectionString": url, "query": "SELECT * FROM T", "checkpointPath": token, "checkpointColumn": "ID"}))
+        return df, ctx
+
+    df, ctx = read()
+    insert([4, 5])
+    assert sorted(r.ID for r in df.collect()) == [1, 2, 3]
+    ctx.after_commit[0]()
+    assert read_token(token) == 3
+    df, ctx = read()
+    assert sorted(r.ID for r in df.collect()) == [4, 5]
+    ctx.after_commit[0]()
+    df, ctx = read()
+    assert df.count() == 0 and not ctx.after_commit and read_token(token) == 5
+
+
 def sink(spark, kind, df, path, **params):
     t = block_type(kind)
     return t.build(BlockContext(spark, kind, {"in": df}), **t.bind({"path": str(path), **params}))()

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.scratch import scratch_path
+from weftline.functions.values import ORD
 from weftline.geo import functions as g
 from weftline.geo import wkb
 from weftline.plans.planner import check
@@ -139,6 +140,37 @@ def shapefile_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(apply(spark, "SourceShapefile", None, path=f"{base}/a.shp"))
 
 
+def database(spark: SparkSession, sf_dir: str) -> str:
+    """Orders in a database within this process, which only a local master's tasks can reach."""
+    url = "jdbc:derby:memory:w" + scratch_path(spark, "db").rsplit("-", 1)[1]
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    spread = orders.select(*[F.col(c).alias(c.upper()) for c in orders.columns])
+    spread.coalesce(1).write.format("jdbc").options(url=f"{url};create=true", dbtable="ORDERS").save()
+    return url
+
+
+def lowered(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(c.lower()) for c in df.columns])
+
+
+@query("database_source", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
+def database_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table read by ranges of its key."""
+    return lowered(apply(spark, "SourcePostGresQL", None, connectionString=database(spark, sf_dir), query="SELECT * FROM ORDERS", partitionColumn="O_ORDERKEY", numPartitions=4))
+
+
+@query("database_resume", "SELECT o_orderkey, o_totalprice, (SELECT max(o_orderkey) FROM orders)::VARCHAR AS token FROM orders WHERE o_orderkey > 1000")
+def database_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows after the token of a run before; the token is then the last key that was read."""
+    path, params = put(f"{folder(spark)}/token", "1000"), {"checkpointColumn": "O_ORDERKEY", "query": "SELECT O_ORDERKEY, O_TOTALPRICE FROM ORDERS;"}
+    t = block_type("SourcePostGresQL")
+    ctx = BlockContext(spark, "s", {}, Settings())
+    out = t.build(ctx, **t.bind({"connectionString": database(spark, sf_dir), "checkpointPath": path, **params}))
+    for f in ctx.after_commit:
+        f()
+    return lowered(out.drop(ORD)).withColumn("token", F.lit(str(read_token(path))))
+
+
 # --- checkpoints ------------------------------------------------------------------------------------------------------------
 
 

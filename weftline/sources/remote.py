@@ -36,20 +36,52 @@ def literal(value) -> str:
     return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
 
 
-def resume_query(query: str, column: str, token) -> str:
-    """The query's rows after a token, in the order of the column."""
+def _named(column: str, role: str = "checkpointColumn") -> str:
     if not _IDENTIFIER.match(column):
-        raise ValueError(f"checkpointColumn '{column}' is no identifier")
-    where = "" if token is None else f' WHERE "{column}" > {literal(token)}'
-    return f'SELECT * FROM ({query.strip().rstrip(";")}) AS weftline_source{where} ORDER BY "{column}"'
+        raise ValueError(f"{role} '{column}' is no identifier")
+    return f'"{column}"'
 
 
-def _query(ctx: BlockContext, connectionString: str, query: str, checkpointPath: str | None, checkpointColumn: str | None) -> DataFrame:
+def resume_query(query: str, column: str, token, until=None) -> str:
+    """The query's rows after a token and up to another, in the order of the column."""
+    name = _named(column)
+    bounds = [f"{name} {sign} {literal(x)}" for sign, x in ((">", token), ("<=", until)) if x is not None]
+    where = f" WHERE {' AND '.join(bounds)}" if bounds else ""
+    return f'SELECT * FROM ({query.strip().rstrip(";")}) AS weftline_source{where} ORDER BY {name}'
+
+
+def range_query(query: str, column: str, token=None) -> str:
+    """The least and the largest value of a column, after a token."""
+    name = _named(column, "column")
+    where = "" if token is None else f" WHERE {name} > {literal(token)}"
+    return f"SELECT min({name}) AS low, max({name}) AS high FROM ({query.strip().rstrip(';')}) AS weftline_range{where}"
+
+
+def _query(ctx: BlockContext, connectionString: str, query: str, checkpointPath: str | None, checkpointColumn: str | None, partitionColumn: str | None, numPartitions: int) -> DataFrame:
+    """With a checkpoint, the largest value is asked for first: it bounds what is read and is the token that is saved, so
+    rows that arrive meanwhile are left to the next run. With a partition column the range is read by so many tasks."""
+    query = query.strip().rstrip(";")
+
+    def read(**options) -> DataFrame:
+        return ctx.spark.read.format("jdbc").options(**jdbc_options(connectionString), **options).load()
+
+    def span(column: str, token=None):
+        return read(query=range_query(query, column, token)).first()
+
     if checkpointPath:
         if not checkpointColumn:
             raise ValueError("checkpointPath needs checkpointColumn")
-        query = resume_query(query, checkpointColumn, read_token(checkpointPath))
-    df = ctx.spark.read.format("jdbc").options(**jdbc_options(connectionString)).option("query", query.strip().rstrip(";")).load()
+        token = read_token(checkpointPath)
+        last = span(checkpointColumn, token)[1]
+        query = resume_query(query, checkpointColumn, token, token if last is None else last)
+        if last is not None:
+            ctx.after_commit.append(lambda: write_token(checkpointPath, last))
+    low, high = span(partitionColumn) if partitionColumn else (None, None)
+    if low is None:
+        df = read(query=query)
+    else:
+        bounds = {"partitionColumn": partitionColumn, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(numPartitions)}
+        df = read(dbtable=f"({query}) weftline_parts", **bounds)
     fields = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.BinaryType):  # geometries come as ST_AsBinary
@@ -62,27 +94,21 @@ def _query(ctx: BlockContext, connectionString: str, query: str, checkpointPath:
             fields.append(F.to_json(c(f.name)).alias(f.name))
         else:
             fields.append(c(f.name))
-    out = numbered(filled(df.select(*fields)))
-    if checkpointPath:
-        ctx.after_commit.append(lambda: _save(out, checkpointPath, checkpointColumn))
-    return out
-
-
-def _save(df: DataFrame, path: str, column: str) -> None:
-    last = df.agg(F.max(c(column))).first()[0]
-    if last is not None:
-        write_token(path, last)
+    return numbered(filled(df.select(*fields)))
 
 
 @block("SourcePostGresQL", "source")
-def postgresql(ctx: BlockContext, connectionString: str, query: str, batchSize: int = 1000, checkpointPath: str | None = None, checkpointEvery: int = 10_000, checkpointColumn: str | None = None) -> DataFrame:
-    """Any query; with a checkpoint only rows after the last token, which is written after the sinks have committed."""
-    return _query(ctx, connectionString, query, checkpointPath, checkpointColumn)
+def postgresql(ctx: BlockContext, connectionString: str, query: str, batchSize: int = 1000, checkpointPath: str | None = None, checkpointEvery: int = 10_000, checkpointColumn: str | None = None, partitionColumn: str | None = None, numPartitions: int = 8) -> DataFrame:
+    """Any query; with a checkpoint only rows after the last token, and the next is written after the sinks have committed.
+
+    partitionColumn names a column of numbers, dates or times by whose range numPartitions tasks read.
+    """
+    return _query(ctx, connectionString, query, checkpointPath, checkpointColumn, partitionColumn, numPartitions)
 
 
 @block("SourcePostGis", "source")
-def postgis(ctx: BlockContext, connectionString: str, query: str, batchSize: int = 1000, checkpointPath: str | None = None, checkpointEvery: int = 10_000, checkpointColumn: str | None = None) -> DataFrame:
-    return _query(ctx, connectionString, query, checkpointPath, checkpointColumn)
+def postgis(ctx: BlockContext, connectionString: str, query: str, batchSize: int = 1000, checkpointPath: str | None = None, checkpointEvery: int = 10_000, checkpointColumn: str | None = None, partitionColumn: str | None = None, numPartitions: int = 8) -> DataFrame:
+    return _query(ctx, connectionString, query, checkpointPath, checkpointColumn, partitionColumn, numPartitions)
 
 
 @block("SourceWfs", "source")
