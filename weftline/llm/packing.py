@@ -85,9 +85,9 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int
     return windows
 
 
-def _packed(vocabulary: str, capacity: int, batch: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _packed(vocabulary: str, capacity: int, batch: int, remembered: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = encoder(vocabulary, REMEMBERED)
+        tok = encoder(vocabulary, remembered)
         serial = TaskContext.get().partitionId() << 40
         names: list = []
         held: list[np.ndarray] = []
@@ -119,13 +119,14 @@ def _packed(vocabulary: str, capacity: int, batch: int) -> Callable[[Iterator[pd
     return tidy(run)
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD_VOCABULARY, batch: int = BATCH, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD_VOCABULARY, batch: int = BATCH, remembered: int = REMEMBERED, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of docs is a document: the ids of its text (none if null or empty) and the end id. Repeated rows are packed
     each for itself, a null id stays null, an empty table gives no pieces, and other columns are not read. A sequence
     holds at most ``capacity`` ids without gaps; documents of a batch of about ``batch`` ids share sequences, and a
-    longer document is a batch with those before it.
+    longer document is a batch with those before it. ``remembered`` pieces of text are kept by a process; fewer take
+    less memory and more time, with the same result.
     """
     bounded_batches(docs.sparkSession, mb=TEXT_MB)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(_packed(vocabulary, capacity, batch), SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(_packed(vocabulary, capacity, batch, remembered), SCHEMA)
