@@ -14,6 +14,8 @@ from weftline.llm.packing import pack_documents
 
 #: Cosine with the best language prototype below which nothing is known of a document's language.
 MIN_SCORE = 0.02
+#: Pieces of text remembered by a process while it packs: executors still hold what earlier stages took.
+REMEMBERED = 50_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 2048 ids."""
-    return pack_documents(docs)
+    return pack_documents(docs, remembered=REMEMBERED)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", dedup_lines), ("ngram_jaccard", near_duplicates), ("decontamination", benchmark_free), ("packing", packed)]
