@@ -15,7 +15,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import public_tokenizers  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from weftline.llm.common import take_worker, worker_cache  # noqa: E402
+from weftline.llm.common import rest_worker, take_worker, worker_cache  # noqa: E402
 from weftline.llm.shingles import Strings, mix, split_words  # noqa: E402
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -201,6 +201,7 @@ def encoder(path: str, remembered: int = REMEMBERED) -> TextEncoder:
     take_worker("tokens")
     if path not in _held:
         _held[path] = TextEncoder(path, remembered)
+        rest_worker()  # what reading the vocabulary took
     _held[path].remembered = remembered
     return _held[path]
 
