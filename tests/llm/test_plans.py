@@ -2,6 +2,7 @@
 
 import pytest
 
+import corpus_pipeline
 from tests.conftest import SF
 from tests.test_plans import plan
 from weftline import llm
@@ -20,3 +21,9 @@ def test_one_pass_operators(spark, name):
     """Their last step reads documents once and shuffles nothing."""
     text = plan(llm.queries()[name](spark, SF))
     assert "Exchange" not in text and text.count("Scan parquet") == 2  # the tree and its details
+
+
+def test_language_is_scored_once(spark):
+    """The filter on the score does not make a second copy of its call."""
+    text = plan(corpus_pipeline.language_id(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF))
+    assert text.count("ArrowEvalPython") == 2  # the tree and its details

@@ -131,7 +131,8 @@ class Profiles:
         def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             yield from tidy(lambda parts: map(one, parts))(batches)
 
-        return scored(text)
+        # a filter on the result would be pushed below it with a copy of the call, and each text scored twice
+        return scored.asNondeterministic()(text)
 
 
 def _bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
