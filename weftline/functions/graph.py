@@ -2,19 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.scratch import materialize
 
 
-def components(links: DataFrame) -> DataFrame:
+#: Rows of components that a single task gives out at once.
+_OUT = 50_000
+
+
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (a, b), ascending, and the least node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        u, v = label[x], label[y]
+        apart = u != v
+        if not apart.any():
+            return nodes, nodes[label]
+        np.minimum.at(label, np.maximum(u, v)[apart], np.minimum(u, v)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _in_one_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = [pdf.to_numpy(np.int64) for pdf in batches]
+    if held:
+        nodes, least = least_labels(*np.concatenate(held).T)
+        for i in range(0, len(nodes), _OUT):
+            yield pd.DataFrame({"k": nodes[i : i + _OUT], "c": least[i : i + _OUT]})
+
+
+def components(links: DataFrame, together: int = 0) -> DataFrame:
     """links (a, b) -> (k, c): the least node c reachable from each node k that has a link.
 
     Every round takes the least label among neighbours and then the label of that label, and is written to the shared
-    folder; rounds end when no label changes. An empty link table gives an empty result.
+    folder; rounds end when no label changes. Up to ``together`` links (nodes long, none null) are solved by one task in
+    one step instead. An empty link table gives an empty result.
     """
     both = materialize(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
+    if together and both.count() <= 2 * together:
+        return materialize(both.where("a < b").coalesce(1).mapInPandas(_in_one_task, "k long, c long"), "labels")
     labels = materialize(both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("a"), F.min("b")).alias("c")), "labels")
     while True:
         near = both.join(labels.hint("merge"), F.col("b") == F.col("k")).groupBy(F.col("a").alias("n")).agg(F.min("c").alias("m"))

@@ -10,15 +10,20 @@ from functools import reduce
 from operator import add
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.scratch import materialize, scratch_path  # noqa: F401 - the operators take them from here
+from weftline.functions import scratch
+from weftline.functions.scratch import scratch_path  # noqa: F401 - the operators take it from here
 
 #: MB above which a side is never broadcast.
 BROADCAST_MB = 24
 
+#: MB of the driver's heap beyond which its garbage is collected between steps.
+HEAP_MB = 320
+
 #: ASCII white space of the operator contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -53,6 +58,39 @@ def rest_worker() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def rest_driver(spark: SparkSession) -> None:
+    """Give back what the driver's JVM holds for nothing: its heap's garbage once the heap has grown (dead plans, and the
+    shuffles and broadcasts that hang on them), and freed native memory.
+
+    The collector by itself lets the heap grow to its limit, and the C library keeps what the compiler and the codecs
+    freed; an operator of many steps fills both. A JVM that can't trim (before 17.0.9) goes without.
+    """
+    java = spark._jvm.java.lang
+    if java.Runtime.getRuntime().totalMemory() > HEAP_MB << 20:
+        gc.collect()  # what Python holds of the JVM's objects
+        java.System.gc()
+    with contextlib.suppress(Py4JJavaError):
+        _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    """Ask the JVM's own command for it, by the method of the public interface: its class is not open to callers."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = array(jvm.java.lang.Object, 4)
+    args[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    args[1] = "systemTrimNativeHeap"
+    args[2], args[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+    invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """scratch.materialize, and rest for the driver."""
+    out = scratch.materialize(df, name)
+    rest_driver(df.sparkSession)
+    return out
+
+
 def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """f, with the worker's freed memory given back when the task ends."""
 

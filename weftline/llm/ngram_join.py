@@ -43,6 +43,8 @@ LONGEST, ROW, MEET, VERIFY = 6, 1.0, 1.0, 8.0
 SPLIT, STREAM, TOGETHER = 50_000, 500, 1000
 #: Most turns in which shingles choose further members before all pairs left over are looked at.
 TURNS = 3
+#: Links whose components one task finds; rounds of small shuffles cost the driver more than the links do.
+LINKS = 1 << 20
 #: Shingles of a class that are looked through for an earlier meeting.
 EARLIER = 24
 #: Prefix rows of one bucket; bytes of sets in a batch on their way to verification.
@@ -506,7 +508,7 @@ def _labels(job: Job) -> DataFrame:
     stars = pair.agg(F.max("n").alias("n"), F.first("p").alias("p"), F.first("l").alias("l"), F.sum("i").alias("i"))
     stars = materialize(job.plausible(stars.where("n >= p AND i >= l").select("x", "y")), "stars")
     near = materialize(job.verify(stars), "near")
-    labels = components(near)
+    labels = components(near, LINKS)
 
     folded = _folded(materialize(_ranked(_shared(met), num, den), "ranked"))
     words = job.classes.select(F.col("k").alias("y"), *_WORDS)
@@ -518,13 +520,13 @@ def _labels(job: Job) -> DataFrame:
         if found.isEmpty():
             break
         near = near.union(found)
-        labels = components(near)
+        labels = components(near, LINKS)
         live = _named(postings, labels)
     rest = materialize(job.plausible(_residual(live, num, den)), "residual")
     if rest.isEmpty():
         return labels
     further = materialize(job.verify(rest), "further")
-    return labels if further.isEmpty() else components(near.union(further))
+    return labels if further.isEmpty() else components(near.union(further), LINKS)
 
 
 def _grouped(docs: DataFrame, width: int, num: int, den: int, split: int, text_col: str, id_col: str, seed: int | None) -> DataFrame:
