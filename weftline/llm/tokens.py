@@ -22,7 +22,7 @@ WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Id appended to every document.
 END = 1
 #: Fixed value: the vocabulary's pre-token pattern, spelt for characters on which Python's classes agree with it.
-_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+|\n")
 #: Characters whose normal form, lower case or class needs the library; <| may begin a special token.
 _CONTROL = re.compile("[\0-\x08\x0e-\x1f\x7f]|<\\|")
 _ODD = re.compile("[^\t-\r -~¡-¬®-±´-¸º»¿-įı-ɏ‐-‧€]|<\\|")
@@ -51,6 +51,7 @@ class Memo:
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
         self.low, self.high = np.empty(1 << 14, np.uint64), np.empty(1 << 14, np.uint64)
+        self.hits = np.empty(1 << 14, np.int32)
         self.odd: dict[bytes, int] = {}
 
     def _table(self, bits: int) -> None:
@@ -104,12 +105,12 @@ class Memo:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while n + m > len(self.start):
-            self.start, self.length, self.low, self.high = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length, self.low, self.high))
+            self.start, self.length, self.low, self.high, self.hits = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length, self.low, self.high, self.hits))
         low, high, hashes = self._spelt(strings)
         self.flat[self.used : self.used + len(ids)] = ids
         begins = np.concatenate([[0], stops[:-1]])
         self.start[n : n + m], self.length[n : n + m] = self.used + begins, stops - begins
-        self.low[n : n + m], self.high[n : n + m] = low, high
+        self.low[n : n + m], self.high[n : n + m], self.hits[n : n + m] = low, high, 0
         self.used += len(ids)
         self.count += m
         if 2 * self.count > self.mask:
@@ -121,15 +122,37 @@ class Memo:
         odd = np.concatenate([np.flatnonzero(strings.sizes > SHORT), short[~inside]])
         self.odd.update(zip(strings.listed(odd), (n + odd).tolist(), strict=True))
 
+    def prune(self, most: int) -> None:
+        """Keep the ``most`` strings that were asked for most often; their hits count half from now on."""
+        kept = np.sort(np.argsort(-self.hits[: self.count], kind="stable")[:most])
+        place = np.full(self.count, -1, np.int32)
+        place[kept] = np.arange(len(kept), dtype=np.int32)
+        length, hits = self.length[kept], self.hits[kept] // 2
+        ids, ends = self.ids(kept)
+        keys, values = self.keys[self.keys != 0], place[self.values[self.keys != 0]]
+        begins = ends - length
+        low, high = self.low[kept], self.high[kept]
+        odd = {x: int(place[i]) for x, i in self.odd.items() if place[i] >= 0}
+        self.__init__(max(16, (2 * len(kept)).bit_length() + 1))
+        self.count, self.used, self.odd = len(kept), len(ids), odd
+        self.flat = np.concatenate([ids, self.flat])
+        self.start, self.length = np.concatenate([begins, self.start]), np.concatenate([length, self.length])
+        self.low, self.high, self.hits = np.concatenate([low, self.low]), np.concatenate([high, self.high]), np.concatenate([hits, self.hits])
+        self._enter(keys[values >= 0], values[values >= 0])
+
     def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the strings at these places in a row, and where those of each end."""
+        self.hits[: self.count] += np.bincount(at, minlength=self.count).astype(np.int32)
         length = self.length[at].astype(np.int64)
         ends = np.cumsum(length)
         return self.flat[np.repeat(self.start[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
 class TextEncoder:
-    """Pieces between white space are looked up, their pre-tokens are where they are new, and new pre-tokens are encoded."""
+    """Pieces between white space are looked up, their pre-tokens are where they are new, and new pre-tokens are encoded.
+
+    Beyond ``remembered`` pieces, or pre-tokens, the half that was asked for most often stays.
+    """
 
     def __init__(self, path: str, remembered: int):
         self.remembered = remembered
@@ -150,9 +173,10 @@ class TextEncoder:
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Remember distinct pieces: their pre-tokens are looked up, and those not met before are encoded."""
-        cut = [_PRE_TOKEN.findall(x.decode()) for x in pieces]
-        words = [w for x in cut for w in x]
-        encoded = [w.encode() for w in words]
+        found = _PRE_TOKEN.findall(b"\n".join([*pieces, b""]).decode())  # no piece holds a line feed: it ends the piece
+        last = np.flatnonzero(np.array([w == "\n" for w in found], bool)) - np.arange(1, len(pieces) + 1)
+        words = [w for w in found if w != "\n"]
+        encoded = " ".join(words).encode().split(b" ")
         spelt = joined(encoded)
         at = self.words.find(spelt)
         if (at < 0).any():
@@ -166,7 +190,7 @@ class TextEncoder:
             self.words.add(joined(list(strings)), ids, stops)
             at = self.words.find(spelt)
         ids, ends = self.words.ids(at)
-        self.pieces.add(joined(pieces), ids, ends[np.cumsum([len(x) for x in cut]) - 1])
+        self.pieces.add(joined(pieces), ids, ends[last])
 
     def documents(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each whole text (none for null) and the end id, as unsigned 32-bit numbers."""
@@ -180,8 +204,9 @@ class TextEncoder:
                 continue
             plain.append(i)
             encoded.append(text.lower().encode())
-        if max(self.pieces.count, self.words.count) > self.remembered:
-            self.forget()
+        for memo in (self.pieces, self.words):
+            if memo.count > self.remembered:
+                memo.prune(self.remembered // 2)
         pieces, counts = split_words(encoded)
         at = self.pieces.find(pieces)
         if (at < 0).any():
