@@ -15,11 +15,11 @@ def test_driver_rests_between_steps(spark, monkeypatch):
     trimmed = []
     trim = common._trim
     monkeypatch.setattr(common, "_trim", lambda s: trimmed.append(trim(s)))
-    monkeypatch.setattr(common, "HEAP_MB", 0)
+    monkeypatch.setattr(common, "HEAP", 0)
     before = collections(spark)
     assert common.materialize(spark.range(3), "three").count() == 3
     assert collections(spark) > before and len(trimmed) == 1
-    monkeypatch.setattr(common, "HEAP_MB", 1 << 20)
+    monkeypatch.setattr(common, "HEAP", 2)
     before = collections(spark)
     common.rest_driver(spark)
     assert collections(spark) == before and len(trimmed) == 2

@@ -21,8 +21,8 @@ from weftline.functions.scratch import scratch_path  # noqa: F401 - the operator
 #: MB above which a side is never broadcast.
 BROADCAST_MB = 24
 
-#: MB of the driver's heap beyond which its garbage is collected between steps.
-HEAP_MB = 320
+#: Part of the driver's largest heap beyond which its garbage is collected between steps.
+HEAP = 0.4
 
 #: ASCII white space of the operator contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -66,7 +66,7 @@ def rest_driver(spark: SparkSession) -> None:
     freed; an operator of many steps fills both. A JVM that can't trim (before 17.0.9) goes without.
     """
     java = spark._jvm.java.lang
-    if java.Runtime.getRuntime().totalMemory() > HEAP_MB << 20:
+    if (now := java.Runtime.getRuntime()).totalMemory() > HEAP * now.maxMemory():
         gc.collect()  # what Python holds of the JVM's objects
         java.System.gc()
     with contextlib.suppress(Py4JJavaError):
