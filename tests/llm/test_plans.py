@@ -27,3 +27,9 @@ def test_language_is_scored_once(spark):
     """The filter on the score does not make a second copy of its call."""
     text = plan(corpus_pipeline.language_id(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF))
     assert text.count("ArrowEvalPython") == 2  # the tree and its details
+
+
+def test_token_files_are_read_by_one_python_step(spark):
+    """Each Python step of a stage has a worker of its own in every task, and executors' memory is bounded."""
+    text = plan(llm.queries()["op1_token_binary"](spark, SF))
+    assert text.count("MapInPandas") == 2 and "ArrowEvalPython" not in text  # the tree and its details

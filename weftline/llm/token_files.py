@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import struct
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -164,7 +163,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = WORD_VOCABULARY
     ids = coded.where("kind = 0").select("id", "h", "n", "block")
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(ids.agg(F.sum("n")).first()[0] or 0) * 4 // file_chars))
     ranged = ids.repartitionByRange(files, "id", "h").sortWithinPartitions("id", "h")
-    told = materialize(ranged.mapInPandas(_written(folder, spark.sparkContext.broadcast(ranks)), "part int, docs long, tokens long"), "token-files")
+    told = ranged.mapInPandas(_written(folder, spark.sparkContext.broadcast(ranks)), "part int, docs long, tokens long")
     return sorted(tuple(r) for r in told.collect())  # a row a file
 
 
@@ -198,14 +197,12 @@ def read_tokens(spark, folder: str, files: list[tuple[int, int, int]], id_col: s
     return listed.mapInPandas(_read(folder, f"{folder}/ranks.bin"), "id long, start long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 
 
-def checksums(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """read_tokens' rows with ids_crc32 in the place of the ids."""
+def checksums(coded: DataFrame) -> DataFrame:
+    """read_tokens' rows with ids_crc32 in the place of the ids.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(ids_crc32=np.array([zlib.crc32(x) for x in pdf["ids"]], np.int64)).drop(columns="ids")
-
-    return coded.mapInPandas(tidy(run), f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+    The JVM computes it: a second Python step would have a worker of its own beside the first one's, in every task.
+    """
+    return coded.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def token_folder(spark) -> str:
