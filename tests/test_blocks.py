@@ -3,8 +3,11 @@ import json
 import os
 import sqlite3
 import struct
+import subprocess
+import sys
 import threading
 from datetime import UTC, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,7 +23,7 @@ from weftline.sinks.modes import WriteMode, write_mode
 from weftline.sources.checkpoints import read_token, write_token
 from weftline.sources.remote import jdbc_options, resume_query
 
-from .conftest import same_as_sql
+from .conftest import SF, same_as_sql
 
 
 @pytest.mark.parametrize("name", sorted(q.ORACLES))
@@ -194,6 +197,24 @@ def test_database_resume_leaves_later_rows(spark, tmp_path):
     assert df.count() == 0 and not ctx.after_commit and read_token(token) == 5
 
 
+@pytest.mark.parametrize("name", ["database_resume"])
+def test_database_is_reached_by_executors(db, tmp_path, name):
+    """Executors are processes of their own, so a database within one of them has no table in the others."""
+    code = """
+import sys
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+name, sf, out = sys.argv[1:]
+conf = {"spark.ui.enabled": "false", "spark.executor.memory": "512m", "spark.checkpoint.dir": f"file://{out}/shared"}
+e.queries()[name](SparkSession.builder.master("local-cluster[2,1,512]").config(map=conf).getOrCreate(), sf).write.parquet(f"{out}/rows")
+"""
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).parent.parent), "PYSPARK_SUBMIT_ARGS": "pyspark-shell"}
+    said = subprocess.run([sys.executable, "-c", code, name, SF, str(tmp_path)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert not said.returncode, said.stderr[-2000:]
+    rows = db.sql(f"SELECT * FROM '{tmp_path}/rows/*.parquet'")
+    assert sorted(rows.fetchall()) == sorted(db.sql(f"SELECT {', '.join(rows.columns)} FROM ({q.ORACLES[name]})").fetchall())
+
+
 def sink(spark, kind, df, path, **params):
     t = block_type(kind)
     return t.build(BlockContext(spark, kind, {"in": df}), **t.bind({"path": str(path), **params}))()
