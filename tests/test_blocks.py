@@ -17,7 +17,7 @@ from weftline.functions.values import ORD, geometry_field
 from weftline.geo import functions as g
 from weftline.geo import wkb
 from weftline.plans.registry import BindError, BlockContext, block, block_type
-from weftline import run_queries  # noqa: F401 - registers its queries
+from weftline import run_queries
 from weftline.queries import apply, shapes
 from weftline.sinks.modes import WriteMode, write_mode
 from weftline.sources.checkpoints import read_token, write_token
@@ -197,7 +197,7 @@ def test_database_resume_leaves_later_rows(spark, tmp_path):
     assert df.count() == 0 and not ctx.after_commit and read_token(token) == 5
 
 
-@pytest.mark.parametrize("name", ["database_resume"])
+@pytest.mark.parametrize("name", ["database_resume", "database_source"])
 def test_database_is_reached_by_executors(db, tmp_path, name):
     """Executors are processes of their own, so a database within one of them has no table in the others."""
     code = """
@@ -215,6 +215,17 @@ e.queries()[name](SparkSession.builder.master("local-cluster[2,1,512]").config(m
     assert sorted(rows.fetchall()) == sorted(db.sql(f"SELECT {', '.join(rows.columns)} FROM ({q.ORACLES[name]})").fetchall())
 
 
+def test_database_holds_every_text(spark, tmp_path):
+    """The files by which the driver loads it keep quotes, line ends, blanks and nulls apart; no row is a table too."""
+    words = ['a"b', '""', '"', "x,y", "a\nb", "a\r\nb", "\r", "\\", '\\"', " lead", "trail ", " ", "", None, "NULL", "é😀\u0085", "'", "x" * 40_000, '"\n\n,"']
+    numbers = [1e300, 5e-324, 0.1, 1 / 3, 1e7, None]
+    rows = [(None if i == 3 else i, (1 << 63) - 1 - i, numbers[i % 6], w) for i, w in enumerate(words)]
+    for name, found in (("some", rows), ("none", [])):
+        spark.createDataFrame(found, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        df = spark.read.format("jdbc").options(url=run_queries.database(spark, f"{tmp_path}/{name}"), dbtable="ORDERS").load()
+        assert df.columns == ["O_ORDERKEY", "O_CUSTKEY", "O_TOTALPRICE", "O_ORDERPRIORITY"] and sorted((tuple(r) for r in df.collect()), key=repr) == sorted(found, key=repr)
+
+
 def sink(spark, kind, df, path, **params):
     t = block_type(kind)
     return t.build(BlockContext(spark, kind, {"in": df}), **t.bind({"path": str(path), **params}))()
